@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hailgrid.functions.geometry import place_key
 from hailgrid.schema import STAGED_FIELDS
 
 # Epoch seconds of a timestamp without zone that lies on midnight.
@@ -233,10 +234,21 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             case when street = 'second' then concat(',{{"types":["street_address"],"formatted_address":"Second ', key,
               '","address_components":[],"geometry":{{}}}}') else '' end,
             '],"status":"OK"}}') end as body
-        from j""".replace("{{", "{").replace("}}", "}")
+        from j"""
     )
 
 
+def reverse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geocoder replies for the starts of requests, keyed ``lon,lat``."""
+    places = requests(spark, sf_dir).where("start_lon is not null").select("start_lon", "start_lat").distinct()
+    body = F.concat(
+        F.lit('{"results":[{"types":["street_address"],"formatted_address":"Place '),
+        F.col("start_lat").cast("string"),
+        F.lit('","address_components":[],"geometry":{}}]}'),
+    )
+    return places.select(place_key(F.col("start_lon"), F.col("start_lat")).alias("key"), body.alias("body"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV lines with the header and name of their file, one per lineitem row."""
     read(spark, sf_dir, "lineitem")
@@ -249,9 +261,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = out.when(layout == i, option)
         return out
 
-    # Every 83rd part has a line cut after its sixth cell, every 79th an empty line.
+    # Every 83rd part has a line cut after twelve cells, every 79th an empty line.
     line = by_layout([F.concat_ws(",", *order.split()) for order in LAYOUTS])
-    line = F.when(F.col("l_partkey") % 83 == 5, F.substring_index(line, ",", 6)).otherwise(line)
+    line = F.when(F.col("l_partkey") % 83 == 5, F.substring_index(line, ",", 12)).otherwise(line)
     line = F.when(F.col("l_partkey") % 79 == 6, F.lit("")).otherwise(line)
     return cells.select(
         "l_orderkey",

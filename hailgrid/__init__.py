@@ -7,7 +7,7 @@ from hailgrid.operators.estimate import estimate, estimate_address, estimate_jso
 from hailgrid.operators.features import features, latest_trips
 from hailgrid.operators.filters import in_area, in_period, in_time_of_day, trip_filter, valid_trips
 from hailgrid.operators.geocoding import geocode, geocode_requests
-from hailgrid.operators.matching import window_stats
+from hailgrid.operators.matching import Window, window_stats
 from hailgrid.plans.ingest import build_layer, stage
 from hailgrid.plans.trip_query import trip_query
 from hailgrid.sources.headers import header_mapping
@@ -17,6 +17,7 @@ from hailgrid.sources.trip_store import read_staged, scan_layer, write_json, wri
 
 __all__ = [
     "Area",
+    "Window",
     "box",
     "box_around",
     "build_layer",

@@ -233,6 +233,11 @@ def point_wkt(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT ("), number_text(x), F.lit(" "), number_text(y), F.lit(")"))
 
 
+def place_key(x: Column, y: Column) -> Column:
+    """``lon,lat`` text under which a geocoder response of a point is kept."""
+    return F.concat(number_text(x), F.lit(","), number_text(y))
+
+
 def area_wkt(area: RowArea) -> Column:
     """``POLYGON`` text of an area."""
 
