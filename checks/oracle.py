@@ -399,6 +399,8 @@ def oracle_sql() -> dict[str, str]:
         f"({_in_box(q.BOX_B, *DROP)} or {_in_box(q.PART_B, *DROP)})"
     )
     placed = f"select *, case shape when 'location' then 0.0041e0 when 'bounds' then half end as r from ({sample.PLACES})"
+    around = [f"{_number_text(f'({num(x)} + lon)')} || ' ' || {_number_text(f'({num(y)} + lat)')}" for x, y in _corners(0.0, 0.0, 0.0041)]
+    circle_wkt = "'POLYGON ((' || " + " || ', ' || ".join(around) + " || '))'"
     address = "case when shape = 'empty' or street = 'no' then 'Unknown Address' when street = 'first' then key || ' Street' else 'Second ' || key end"
     return {
         "trip_query": f"select {stats()} from ({VALID}) where {flagship}",
@@ -451,7 +453,8 @@ def oracle_sql() -> dict[str, str]:
         "estimate_json": _estimate_json(),
         "departures": f"select request_id, departure, start_sec from ({REQUESTS})",
         "geocode_area": f"""select key, lon - r as xmin, lat - r as ymin, lon + r as xmax, lat + r as ymax,
-          case shape when 'location' then 20 when 'bounds' then 0 else -1 end as edges from ({placed})""",
+          case shape when 'location' then 0.0041e0 end as radius, case shape when 'location' then {circle_wkt}
+            when 'bounds' then {_box_wkt('(lon - r)', '(lat - r)', '(lon + r)', '(lat + r)')} end as wkt from ({placed})""",
         "geocode_address": f"""select key, {address} as address,
           case when shape <> 'empty' and street = 'first' then 1 else 0 end as components from ({sample.PLACES})""",
         "address_lookup": f"""with p as (select *, {address} as address from ({placed})) select request_id, s.address as start, d.address as dest, d.lon - d.r as dest_xmin

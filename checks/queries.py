@@ -48,8 +48,8 @@ def register(build: Query) -> Query:
     return query
 
 
-def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hg.valid_trips(sample.trips(spark, sf_dir))
+def _valid(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return hg.valid_trips(sample.trips(spark, sf_dir, spread))
 
 
 # Sums of doubles depend on their order in the last digits, so statistics are
@@ -313,26 +313,26 @@ def requests_match(spark, sf_dir):
         F.col("start_sec") - 1500,
         F.col("start_sec") + 1500,
     )
-    stats = hg.window_stats(windows, window, _valid(spark, sf_dir), keys, ["tip_amount"])
+    stats = hg.window_stats(windows, window, _valid(spark, sf_dir, spread=True), keys, ["tip_amount"])
     return _rounded(stats.select(*keys, *statistics.finish(["tip_amount"])), REQUEST_PLACES)
 
 
 @register
 def estimate(spark, sf_dir):
-    answers = hg.estimate(_valid(spark, sf_dir), _asked(spark, sf_dir), ["fare_amount", "payment_type"])
+    answers = hg.estimate(_valid(spark, sf_dir, spread=True), _asked(spark, sf_dir), ["fare_amount", "payment_type"])
     return _rounded(answers.drop(*est.PLACES, *est.ADDRESSES, "start_time"), REQUEST_PLACES)
 
 
 @register
 def trip_card(spark, sf_dir):
     fields = ["trip_distance", "fare_amount", "tolls_amount"]
-    return hg.trip_card(hg.estimate(_valid(spark, sf_dir), _asked(spark, sf_dir), fields))
+    return hg.trip_card(hg.estimate(_valid(spark, sf_dir, spread=True), _asked(spark, sf_dir), fields))
 
 
 @register
 def estimate_address(spark, sf_dir):
     asked = hg.geocode_requests(_asked(spark, sf_dir), sample.responses(spark, sf_dir))
-    answers = hg.estimate_address(_valid(spark, sf_dir), asked, ["fare_amount", "cab_type"])
+    answers = hg.estimate_address(_valid(spark, sf_dir, spread=True), asked, ["fare_amount", "cab_type"])
     hidden = [c for c in asked.columns if c not in ("request_id", "start_sec")]
     return _rounded(answers.drop(*hidden), REQUEST_PLACES)
 
@@ -346,7 +346,7 @@ def estimate_json(spark, sf_dir):
             "dest_place": geometry.place_key(F.col("dest_lon"), F.col("dest_lat")),
         }
     )
-    answers = hg.estimate(_valid(spark, sf_dir), keyed, ["cab_type"])
+    answers = hg.estimate(_valid(spark, sf_dir, spread=True), keyed, ["cab_type"])
     located = hg.geocode_requests(answers, sample.reverse_responses(spark, sf_dir), "start_place", "dest_place")
     ends = located.withColumns(
         {
@@ -368,10 +368,9 @@ def departures(spark, sf_dir):
 @register
 def geocode_area(spark, sf_dir):
     area = geometry.RowArea.of("area")
-    edges = F.coalesce(F.size("area.edges"), F.lit(0))
     return hg.geocode(sample.responses(spark, sf_dir)).select(
         "key", area.xmin.alias("xmin"), area.ymin.alias("ymin"), area.xmax.alias("xmax"), area.ymax.alias("ymax"),
-        F.when(F.col("area").isNotNull(), edges).otherwise(-1).alias("edges"),
+        F.round(area.radius, 6).alias("radius"), geometry.area_wkt(area).alias("wkt"),
     )
 
 

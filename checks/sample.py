@@ -192,16 +192,25 @@ def spark_cells() -> str:
     return f"select *, {_time_text('day', 'tod')} as pickup, {_time_text('day', late)} as dropoff from ({inner})"
 
 
-def read(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Registers tables under their own names for the SQL in this module."""
+def read(spark: SparkSession, sf_dir: str, *names: str, spread: bool = False) -> None:
+    """Registers tables under their own names for the SQL in this module.
+
+    ``spread`` is for work that is heavy per row: a table with fewer input
+    splits than there are cores (the given files have one row group each) is
+    dealt out to all of them. Larger tables are left as they are.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        if spread and table.rdd.getNumPartitions() < cores:
+            table = table.repartition(cores)
+        table.createOrReplaceTempView(name)
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trips(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Staged trips, one per lineitem row, with the row's keys."""
-    read(spark, sf_dir, "lineitem")
+    read(spark, sf_dir, "lineitem", spread=spread)
     rows = spark.sql(TRIPS.format(epoch=SPARK_EPOCH.format("l_shipdate")))
     rows = rows.withColumn("pickup_datetime", F.timestamp_seconds("pickup_s")).withColumn(
         "dropoff_datetime", F.timestamp_seconds("dropoff_s")
@@ -251,7 +260,7 @@ def reverse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV lines with the header and name of their file, one per lineitem row."""
-    read(spark, sf_dir, "lineitem")
+    read(spark, sf_dir, "lineitem", spread=True)
     cells = spark.sql(spark_cells())
     layout = F.col("layout")
 

@@ -4,9 +4,9 @@ Two forms of an area:
 
 * :class:`Area` – a query argument known on the driver (a box, a circle, a
   polygon, or several parts). Its predicate has the vertices as constants.
-* :class:`RowArea` – one area per row of a table: column expressions for the
-  envelope (``xmin, ymin, xmax, ymax``) and the ``edges`` of a ring. A plain box
-  has no edges. Stored as a struct of these (:data:`AREA_TYPE`).
+* :class:`RowArea` – one area per row of a table, a box or a circle: column
+  expressions for the envelope and, for a circle, centre and radius. Stored as a
+  struct of these (:data:`AREA_TYPE`).
 
 Coordinates are degrees, x is longitude. Boundaries belong to the area.
 """
@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 BASE_BUFFER = 0.0041
 CIRCLE_SIDES = 20
 
-EDGES_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
-AREA_TYPE = f"struct<xmin:double,ymin:double,xmax:double,ymax:double,edges:{EDGES_TYPE}>"
+AREA_TYPE = "struct<xmin:double,ymin:double,xmax:double,ymax:double,x:double,y:double,radius:double>"
 # Longest convex ring written as a plain conjunction (stays in generated code).
 _UNROLLED_EDGES = 32
 
@@ -44,6 +44,12 @@ def _edge_list(ring: Ring) -> list[tuple[float, float, float, float]]:
     return [(*a, *b) for a, b in zip(closed, closed[1:], strict=False)]
 
 
+def _edge_array(edges: list[tuple[float, float, float, float]]) -> Column:
+    """Constant array of edges."""
+    rows = [f"named_struct('x1',{x1!r}D,'y1',{y1!r}D,'x2',{x2!r}D,'y2',{y2!r}D)" for x1, y1, x2, y2 in edges]
+    return F.expr(f"array({','.join(rows)})")
+
+
 @dataclass(frozen=True)
 class Polygon:
     """One part of an area: the rings (shell first, then holes)."""
@@ -89,10 +95,7 @@ class Polygon:
         if turn and len(edges) <= _UNROLLED_EDGES:
             sides = [_side(x, y, x1, y1, x2, y2) for x1, y1, x2, y2 in edges]
             return reduce(lambda a, b: a & b, [s >= 0 if turn > 0 else s <= 0 for s in sides], near)
-        rows = ",".join(
-            f"named_struct('x1',{x1!r}D,'y1',{y1!r}D,'x2',{x2!r}D,'y2',{y2!r}D)" for x1, y1, x2, y2 in edges
-        )
-        return near & edges_cover(F.expr(f"array({rows})"), x, y)
+        return near & edges_cover(_edge_array(edges), x, y)
 
 
 @dataclass(frozen=True)
@@ -166,45 +169,62 @@ def point(x: Column, y: Column) -> Column:
 
 @dataclass(frozen=True)
 class RowArea:
-    """Area of a table row. ``edges`` may be NULL, or missing where all areas are boxes."""
+    """Area of a table row.
+
+    The centre is NULL for a box, or missing where all areas are boxes. A circle
+    is the polygon of ``CIRCLE_SIDES`` sides; its corners follow from centre and
+    radius, so rows stay small.
+    """
 
     xmin: Column
     ymin: Column
     xmax: Column
     ymax: Column
-    edges: Column | None = None
+    x: Column | None = None
+    y: Column | None = None
+    radius: Column | None = None
 
     @classmethod
     def of(cls, struct: str) -> RowArea:
         """Area stored in a struct column."""
-        return cls(*[F.col(f"{struct}.{part}") for part in ("xmin", "ymin", "xmax", "ymax", "edges")])
+        return cls(*[F.col(f"{struct}.{part.name}") for part in dataclass_fields(cls)])
 
     def struct(self) -> Column:
-        edges = F.lit(None).cast(EDGES_TYPE) if self.edges is None else self.edges
-        parts = {"xmin": self.xmin, "ymin": self.ymin, "xmax": self.xmax, "ymax": self.ymax, "edges": edges}
-        return F.struct(*[column.alias(name) for name, column in parts.items()])
+        parts = {part.name: getattr(self, part.name) for part in dataclass_fields(self)}
+        missing = F.lit(None).cast("double")
+        return F.struct(*[(missing if value is None else value).alias(name) for name, value in parts.items()])
+
+    def corners(self) -> list[tuple[Column, Column]]:
+        """Corners of the circle, counter-clockwise, closed."""
+        return [(self.radius * c + self.x, self.radius * s + self.y) for c, s in unit_circle()]
+
+    def near(self, x: Column, y: Column) -> Column:
+        """True where the point lies in the envelope."""
+        return x.between(self.xmin, self.xmax) & y.between(self.ymin, self.ymax)
+
+    def exact(self, x: Column, y: Column) -> Column:
+        """True where a point of the envelope lies in the area."""
+        if self.x is None:
+            return F.lit(True)
+
+        def left_of(side: Column) -> Column:
+            first = (self.radius * side.x1 + self.x, self.radius * side.y1 + self.y)
+            second = (self.radius * side.x2 + self.x, self.radius * side.y2 + self.y)
+            return _side(x, y, *first, *second) >= 0
+
+        # Nearly all points are settled by their distance: within the inscribed
+        # circle or beyond the corners, each with room for rounding. The sides
+        # decide the rest, in a loop: written out, twenty of them make a join's
+        # generated method too long to be compiled to machine code.
+        square = (x - self.x) * (x - self.x) + (y - self.y) * (y - self.y)
+        corner = self.radius * self.radius
+        inner = math.cos(math.pi / CIRCLE_SIDES) ** 2 * (1 - 1e-9)
+        sides = F.forall(_edge_array(_edge_list(unit_circle())), left_of)
+        return self.x.isNull() | (square <= corner * inner) | ((square <= corner * (1 + 1e-9)) & sides)
 
     def covers(self, x: Column, y: Column) -> Column:
-        """True where the point lies in the area: envelope first, then the ring."""
-        near = x.between(self.xmin, self.xmax) & y.between(self.ymin, self.ymax)
-        if self.edges is None:
-            return near
-        return near & (self.edges.isNull() | edges_cover(self.edges, x, y))
-
-
-def ring_edges(ring: Column) -> Column:
-    """Edges of a closed ring column (an array of points)."""
-    return F.zip_with(
-        F.slice(ring, 1, F.size(ring) - 1),
-        F.slice(ring, 2, F.size(ring) - 1),
-        lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")),
-    )
-
-
-def ring_envelope(ring: Column) -> RowArea:
-    """Envelope of a ring column."""
-    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
-    return RowArea(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+        """True where the point lies in the area."""
+        return self.near(x, y) & self.exact(x, y)
 
 
 def search_box(x: Column, y: Column, buffer: float | Column = BASE_BUFFER) -> RowArea:
@@ -212,13 +232,22 @@ def search_box(x: Column, y: Column, buffer: float | Column = BASE_BUFFER) -> Ro
     return RowArea(x - buffer, y - buffer, x + buffer, y + buffer)
 
 
-def circle_ring(x: Column, y: Column, radius: float = BASE_BUFFER, sides: int = CIRCLE_SIDES) -> Column:
-    """Closed ring of the n-gon around a point, as an array of points."""
-    return F.array(*[point(F.lit(radius * c) + x, F.lit(radius * s) + y) for c, s in unit_circle(sides)])
+def circle_area(x: Column, y: Column, radius: float = BASE_BUFFER) -> RowArea:
+    """Circle around a point."""
+    xs, ys = zip(*unit_circle(), strict=True)
+    low, high = (radius * min(xs), radius * min(ys)), (radius * max(xs), radius * max(ys))
+    return RowArea(low[0] + x, low[1] + y, high[0] + x, high[1] + y, x, y, F.lit(radius))
+
+
+def circle_ring(x: Column, y: Column, radius: float = BASE_BUFFER) -> Column:
+    """Closed ring of the circle around a point, as an array of points."""
+    return F.array(*[point(cx, cy) for cx, cy in circle_area(x, y, radius).corners()])
 
 
-def ring_area(ring: Column) -> RowArea:
-    return replace(ring_envelope(ring), edges=ring_edges(ring))
+def ring_envelope(ring: Column) -> RowArea:
+    """Envelope of a ring column."""
+    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    return RowArea(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
 # Text
@@ -241,15 +270,18 @@ def place_key(x: Column, y: Column) -> Column:
 def area_wkt(area: RowArea) -> Column:
     """``POLYGON`` text of an area."""
 
-    def pair(x: Column, y: Column) -> Column:
-        return F.concat(number_text(x), F.lit(" "), number_text(y))
-
-    first = pair(area.xmin, area.ymin)
-    corners = [first, pair(area.xmax, area.ymin), pair(area.xmax, area.ymax), pair(area.xmin, area.ymax), first]
-    text = F.when(area.xmin.isNotNull(), F.concat_ws(", ", *corners))
-    if area.edges is not None:
-        start = F.get(area.edges, F.lit(0))
-        others = F.transform(area.edges, lambda e: pair(e.x2, e.y2))
-        ring = F.array_join(F.concat(F.array(pair(start.x1, start.y1)), others), ", ")
-        text = F.when(area.edges.isNotNull(), ring).otherwise(text)
+    def ring(corners: list[tuple[Column, Column]]) -> Column:
+        pairs = [F.concat(number_text(x), F.lit(" "), number_text(y)) for x, y in corners]
+        return F.concat_ws(", ", *pairs)
+
+    box = [
+        (area.xmin, area.ymin),
+        (area.xmax, area.ymin),
+        (area.xmax, area.ymax),
+        (area.xmin, area.ymax),
+        (area.xmin, area.ymin),
+    ]
+    text = F.when(area.xmin.isNotNull(), ring(box))
+    if area.x is not None:
+        text = F.when(area.x.isNotNull(), ring(area.corners())).otherwise(text)
     return F.concat(F.lit("POLYGON (("), text, F.lit("))"))
