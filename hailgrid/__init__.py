@@ -1,6 +1,6 @@
 """Geo-temporal analytics of taxi trips on Spark."""
 
-from hailgrid.functions.geometry import Area, box, box_around, circle, polygon
+from hailgrid.functions.geometry import Area, RowArea, box, box_around, circle, circle_area, polygon, search_box
 from hailgrid.functions.statistics import stats_json, trip_stats
 from hailgrid.operators.density import heatmap, point_layer
 from hailgrid.operators.estimate import estimate, estimate_address, estimate_json, trip_card, with_departure
@@ -17,11 +17,13 @@ from hailgrid.sources.trip_store import read_staged, scan_layer, write_json, wri
 
 __all__ = [
     "Area",
+    "RowArea",
     "Window",
     "box",
     "box_around",
     "build_layer",
     "circle",
+    "circle_area",
     "estimate",
     "estimate_address",
     "estimate_json",
@@ -42,6 +44,7 @@ __all__ = [
     "read_staged",
     "read_trips",
     "scan_layer",
+    "search_box",
     "stage",
     "stats_json",
     "trip_card",

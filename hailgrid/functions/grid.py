@@ -70,6 +70,11 @@ def fine_cell(value: Column, axis: str) -> Column:
     return F.floor((clamp(value, axis) - _AXES[axis][0]) / step).cast("int")
 
 
+def block_column(role: str) -> str:
+    """Name of the block column of a stored layer."""
+    return f"{role}_block"
+
+
 def block(lon: Column, lat: Column) -> Column:
     """Coarse cell number of a position, for laying out a stored layer."""
     x = F.shiftright(fine_cell(lon, "lon"), BLOCK_LEVEL)

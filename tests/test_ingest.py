@@ -88,6 +88,22 @@ def test_layer_round_trip(spark, folder):
         ]
 
 
+def test_estimate_reads_the_blocks_it_needs(spark, folder):
+    staged, layer = str(folder / "staged"), str(folder / "layer")
+    hg.stage(spark, str(folder / "csv"), staged)
+    for role in ("pickup", "dropoff"):
+        hg.build_layer(spark, staged, layer + role, role)
+        trips = spark.read.parquet(layer + role)
+        windows = spark.createDataFrame([(1, -73.95, 40.80, -73.99, 40.73)], "id int, a double, b double, c double, d double")
+        window = hg.Window(hg.search_box(F.col("a"), F.col("b")), hg.search_box(F.col("c"), F.col("d")))
+        stats = hg.window_stats(windows, window, trips, ["id"], [])
+        assert [(r.id, r["count"]) for r in stats.collect()] == [(1, 1)]
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = stats._jdf.queryExecution().explainString(mode)
+        assert f"{role}_block" in plan.split("PartitionFilters: ")[1].split("\n")[0]
+        assert "GreaterThanOrEqual(dropoff_latitude" in plan
+
+
 def test_area_blocks_agree_with_the_column(spark):
     from hailgrid.functions.grid import block
 
@@ -106,7 +122,7 @@ def test_scan_reads_only_what_it_needs(spark, folder):
     plan = hg.trip_stats(rows, ["fare_amount"])._jdf.queryExecution().explainString(mode)
     pushed = plan.split("PushedFilters: ")[1].split("\n")[0]
     assert "GreaterThanOrEqual(pickup_longitude" in pushed and "GreaterThanOrEqual(time_of_day_sec" in pushed
-    assert "block" in plan.split("PartitionFilters: ")[1].split("\n")[0]
+    assert "pickup_block" in plan.split("PartitionFilters: ")[1].split("\n")[0]
     schema = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert "fare_amount" in schema and "tip_amount" not in schema
 
