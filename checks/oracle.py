@@ -427,7 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "feature_scan": f"select {_trip_id()} as trip_id, vendor_id, fare_amount, time_of_day_sec from ({VALID}) where {flagship}",
         "features_pickup": _features("pickup"),
         "features_dropoff": _features("dropoff"),
-        "trip_ids": f"select {IDS}, {_trip_id()} as trip_id from ({VALID})",
+        "trip_id": f"select {IDS}, {_trip_id()} as trip_id from ({VALID})",
         "trip_duration": f"select {IDS}, duration_s as duration_sec from ({TRIPS})",
         "time_of_day": f"select {IDS}, time_of_day_sec, mod(dropoff_s, 86400) as dropoff_sec from ({TRIPS})",
         "dedup_trips": f"""with t as ({TRIPS}), u as (

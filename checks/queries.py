@@ -44,7 +44,7 @@ def register(build: Query) -> Query:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return build(spark, sf_dir)
 
-    QUERIES[build.__name__] = query
+    QUERIES[build.__name__.removesuffix("_")] = query
     return query
 
 
@@ -210,7 +210,7 @@ def features_dropoff(spark, sf_dir):
 
 
 @register
-def trip_ids(spark, sf_dir):
+def trip_id_(spark, sf_dir):
     return _valid(spark, sf_dir).select(*IDS, trip_id().alias("trip_id"))
 
 
