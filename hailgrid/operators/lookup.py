@@ -1,10 +1,8 @@
-"""Shared pieces of the request operators: checkpoints and skew-safe lookups."""
+"""Skew-safe lookups of the request operators."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows of a lookup side that may be broadcast, counted before the join. A row
@@ -16,26 +14,6 @@ BROADCAST_ROWS = 100_000
 LOOKUP_SALTS = 16
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder of the session; a local session may make its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="hailgrid-checkpoint-")
-    context.setCheckpointDir(shared)
-
-
-def materialise(frame: DataFrame) -> tuple[DataFrame, int]:
-    """Reliable checkpoint of a frame and its row count."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    kept = frame.checkpoint(eager=True)
-    return kept, kept.count()
-
-
 def lookup(
     rows: DataFrame, table: DataFrame, keys: list[str], table_rows: int, spread: Column, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

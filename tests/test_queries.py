@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__
 from checks.compare import connect, difference
+from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     actual = __spark_entry__.queries()[name](spark, SF_DIR).toPandas()
     expected = duck.execute(__spark_entry__.oracle_sql()[name]).df()
