@@ -252,13 +252,11 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` of which one stays per component, with all their columns; see ``near_duplicates``."""
-    names = docs.columns
     found = near_duplicates(docs, doc_id, text, **settings).where("kept")
-    wanted = found.groupBy(F.col("row_key").alias("_key")).agg(F.max("first_row").alias("_first"), F.max("component").alias("_component"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"), F.col(text).isNull()))
-    rows = keyed.join(wanted, "_key")
-    single = rows.where("_first = 1").select(*names)
+    wanted = found.groupBy(F.col("row_key").alias("key")).agg(F.max("first_row").alias("rows"), F.max("component").alias("group"))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"), F.col(text).isNull()).alias("key"))
+    rows = keyed.join(wanted, "key")
     # Where several rows of a component carry its id, one of them stays.
-    window = Window.partitionBy("_component").orderBy(*[F.col(c).cast("string") for c in names])
-    repeated = rows.where("_first > 1").withColumn("_row", F.row_number().over(window)).where("_row = 1").select(*names)
-    return single.union(repeated)
+    window = Window.partitionBy("group").orderBy(F.to_json("row"))
+    repeated = rows.where("rows > 1").withColumn("place", F.row_number().over(window)).where("place = 1")
+    return rows.where("rows = 1").select("row.*").union(repeated.select("row.*"))

@@ -33,3 +33,53 @@ def near_components(rows, n, percent=80):
     for i, (doc_id, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), doc_id), doc_id)
     return {i: (len(sets[i]), least[root(i)], least[root(i)] == rows[i][0]) for i in range(len(rows))}
+
+
+def repeated(texts, length):
+    """Per text: (n_bytes, removed runs, kept bytes)."""
+    data = [(t or "").encode() for t in texts]
+    count = {}
+    for d in data:
+        for i in range(len(d) - length + 1):
+            count[d[i : i + length]] = count.get(d[i : i + length], 0) + 1
+    out = []
+    for d in data:
+        gone = [False] * len(d)
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        runs, i = [], 0
+        while i < len(d):
+            j = i
+            while j < len(d) and gone[j]:
+                j += 1
+            if j > i:
+                runs.append((i, j))
+            i = max(j, i + 1)
+        out.append((len(d), runs, bytes(b for b, g in zip(d, gone, strict=True) if not g)))
+    return out
+
+
+def hit_words(texts, items, window, word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"):
+    """Per text: (n_words, n_hit, sorted ids of the items with occurring windows)."""
+
+    def words(t):
+        return re.findall(word, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+    wanted = {}
+    for item, t in items:
+        own = words(t)
+        size = min(window, len(own))
+        for i in range(len(own) - size + 1) if size else ():
+            wanted.setdefault(tuple(own[i : i + size]), set()).add(item)
+    sizes = {len(w) for w in wanted}
+    out = []
+    for t in texts:
+        own, hit, ids = words(t), set(), set()
+        for size in sizes:
+            for i in range(len(own) - size + 1):
+                if found := wanted.get(tuple(own[i : i + size])):
+                    ids |= found
+                    hit.update(range(i, i + size))
+        out.append((len(own), len(hit), sorted(x for x in ids if x is not None)))
+    return out
