@@ -8,6 +8,7 @@ bytes alone: the same on every executor and in every retry.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -78,11 +79,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
+@lru_cache(maxsize=1)
+def _code_values() -> np.ndarray:
+    return mix(np.arange(1, 0x110001, dtype=np.uint64) * _U(_BASE))
+
+
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte range; with ``lower``, of its text with A-Z in lower case."""
+    """A 64-bit hash of each range of bytes or code points; with ``lower``, of bytes with A-Z in lower case."""
     powers, inverses = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_VALUES[LOWER] if lower else _BYTE_VALUES)[data] * powers[: len(data)], out=sums[1:])
+    if data.dtype == np.uint8:
+        values = (_BYTE_VALUES[LOWER] if lower else _BYTE_VALUES)[data]
+    else:
+        values = _code_values()[data]
+    np.cumsum(values * powers[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -141,6 +151,66 @@ def is_word_byte(pattern: str) -> np.ndarray:
     return out
 
 
+class WordTable:
+    """What a worker remembers of words by their hash: a number from 0 up for each, in an open hash table.
+
+    ``limit`` bounds the words; ``find`` forgets all beforehand once it is passed, and
+    whoever keeps arrays by number then starts them anew (``generation`` tells).
+    """
+
+    def __init__(self, limit: int = 1_000_000):
+        self.limit, self.generation = limit, 0
+        self._clear(1 << 16)
+
+    def _clear(self, size: int) -> None:
+        self.keys, self.numbers, self.count = np.zeros(size, np.uint64), np.zeros(size, np.int32), 0
+
+    def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per hash its slot, or the free one where it belongs, and whether it is there."""
+        mask = np.uint64(len(self.keys) - 1)
+        slots = (hashes & mask).astype(np.int64)
+        held = self.keys[slots]
+        there = held == hashes
+        on = np.flatnonzero(~there & (held != 0))
+        while len(on):
+            slots[on] = (slots[on] + 1) & int(mask)
+            held = self.keys[slots[on]]
+            same = held == hashes[on]
+            there[on[same]] = True
+            on = on[~same & (held != 0)]
+        return slots, there
+
+    def _insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        while len(hashes):
+            slots, _ = self._slots(hashes)
+            self.keys[slots] = hashes
+            won = self.keys[slots] == hashes
+            self.numbers[slots[won]] = numbers[won]
+            hashes, numbers = hashes[~won], numbers[~won]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each hash; and for the new ones, in order of number, the place of one occurrence."""
+        hashes = np.where(hashes == 0, _U(1), hashes)
+        if self.count > self.limit:
+            self._clear(1 << 16)
+            self.generation += 1
+        slots, there = self._slots(hashes)
+        if there.all():
+            return self.numbers[slots], np.zeros(0, np.int64)
+        missing = np.flatnonzero(~there)
+        new, first = np.unique(hashes[missing], return_index=True)
+        if 2 * (self.count + len(new)) > len(self.keys):
+            old, numbers = self.keys[self.keys != 0], self.numbers[self.keys != 0]
+            count = self.count
+            self._clear(1 << (4 * (count + len(new)) - 1).bit_length())
+            self.count = count
+            self._insert(old, numbers)
+        self._insert(new, np.arange(self.count, self.count + len(new), dtype=np.int32))
+        self.count += len(new)
+        slots, _ = self._slots(hashes)
+        return self.numbers[slots], missing[first]
+
+
 def text_key(doc_id: str, text: str) -> Column:
     """A hash of id and text by which a row is found again; copies under other ids get other keys."""
     return F.xxhash64(F.col(doc_id), F.col(text), F.col(text).isNull())
