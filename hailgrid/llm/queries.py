@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hailgrid.llm.decontaminate import contamination
 from hailgrid.llm.near_dedup import near_duplicates
 from hailgrid.llm.packing import pack
 from hailgrid.llm.repeats import repeated_spans
+from hailgrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -62,11 +63,34 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held_out: int) -> DataFrame:
+    """(text, label) of the documents whose ``label`` may be learnt from: crc32 of the id, modulo ``parts``, isn't ``held_out``."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where(part_of("doc_id", parts) != held_out)
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("text", "label")
+
+
+def part_of(doc_id: str, parts: int) -> Column:
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> ToxicityModel:
+    return fit_toxicity(labelled(spark, sf_dir, "toxic", 4, 2))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of ``documents``."""
+    found = score_toxicity(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select(
+        "doc_id", F.coalesce(part_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic_windows"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
