@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from hailgrid.llm.decontaminate import contamination
 from hailgrid.llm.near_dedup import near_duplicates
 from hailgrid.llm.packing import pack
+from hailgrid.llm.quality import fit_quality, score_quality
 from hailgrid.llm.repeats import repeated_spans
+from hailgrid.llm.token_counts import token_counts
 from hailgrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
 
 
@@ -63,16 +65,28 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held_out: int) -> DataFrame:
-    """(text, label) of the documents whose ``label`` may be learnt from: crc32 of the id, modulo ``parts``, isn't ``held_out``."""
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match token counts of ``documents``."""
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held_out: int, *columns: str) -> DataFrame:
+    """(text, label) and ``columns`` of the documents whose ``label`` may be learnt from: crc32 of the id, modulo ``parts``, isn't ``held_out``."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where(part_of("doc_id", parts) != held_out)
-    return _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("text", "label")
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", *columns).join(labels, "doc_id").select("text", "label", *columns)
 
 
 def part_of(doc_id: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of ``documents``."""
+    model = fit_quality(labelled(spark, sf_dir, "quality", 3, 1, "n_chars"), metadata=("n_chars",))
+    found = score_quality(_table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", F.coalesce(part_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> ToxicityModel:
     return fit_toxicity(labelled(spark, sf_dir, "toxic", 4, 2))
 
@@ -89,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }

@@ -24,10 +24,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hailgrid.llm import text as T
+from hailgrid.llm.sampling import bounded_sample
 
 # Shares of a window are told apart in so many steps when calibrating.
 MARGINS = 24
@@ -147,15 +148,6 @@ def _train(windows: list[str], size: int) -> bytes:
     return b"".join(reversed(out))
 
 
-def bounded_sample(rows: DataFrame, label: str, most: int, key: Column) -> DataFrame:
-    """About ``most`` rows of each label at most, chosen by a hash of ``key``; labels are 0 and 1."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).where(F.col(label).isin(0, 1)).collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == value, F.lit(min(1.0, most / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-
-
 def fit_toxicity(
     labelled: DataFrame, text: str = "text", label: str = "label", sample_rows: int = 6000, toxic_bytes: int = 16384, ordinary_bytes: int = 65536
 ) -> ToxicityModel:

@@ -83,3 +83,15 @@ def hit_words(texts, items, window, word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"):
                     hit.update(range(i, i + size))
         out.append((len(own), len(hit), sorted(x for x in ids if x is not None)))
     return out
+
+
+def greedy_pieces(text, pieces):
+    """Number of longest-match pieces of a text; pieces don't cross words with the blank before them."""
+    known, longest = set(pieces), max(map(len, pieces))
+    total = 0
+    for part in re.findall(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+?(?= ?[^\x20\x09-\x0D])|[\x20\x09-\x0D]+", (text or "").encode()):
+        i = 0
+        while i < len(part):
+            i += next(n for n in range(min(longest, len(part) - i), 0, -1) if part[i : i + n] in known)
+            total += 1
+    return total
