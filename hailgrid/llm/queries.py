@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hailgrid.llm.decontaminate import contamination
+from hailgrid.llm.language_id import fit_languages, identify_languages
 from hailgrid.llm.near_dedup import near_duplicates
 from hailgrid.llm.packing import pack
 from hailgrid.llm.quality import fit_quality, score_quality
@@ -65,6 +66,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of ``documents``."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(part_of("doc_id", 5) != 0).select("text", "lang"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    found = identify_languages(docs, model)
+    return found.select("doc_id", F.coalesce(part_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match token counts of ``documents``."""
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
