@@ -12,8 +12,9 @@ positions by rank at growing lengths, and positions whose rank is unique drop ou
 2. Consecutive windows that picked the same seed form a stretch; its rank over all
    its bytes (up to ``2 * length - SEED``) joins ranks at growing offsets. Stretches
    that are equal as a whole are past the threshold: all their windows repeat.
-3. Seeds with several different stretches leave single windows. One of each equal
-   stretch takes part; its windows are ranked over ``length`` bytes.
+3. Of seeds with several different stretches, one of each takes part, by blocks of windows.
+   A block whose common bytes are unique is done, as is one that is equal as a whole.
+   Only the rest are compared window by window, at ``length`` bytes.
 
 What is carried on are the *unique* windows, so a passage in a third of all texts
 is counted in partial sums and never gathered. Stretches are counted with their
@@ -30,8 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hailgrid.llm import text as T
+from hailgrid.llm.storage import release, stored
 
 SEED = 32
+# Windows of a stretch that are compared together before each is.
+BLOCK = 16
 # Texts are ranked in parts of so many windows, which bounds memory; positions in a part fit in 24 bits.
 PART = 4 << 20
 _K = np.uint64(0x9FB21C651E98DF25)
@@ -71,7 +75,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(row, seed rank, stretch rank, first window, last window) of the stretches of a block, window places in the text."""
+    """(row, seed rank, stretch rank, first and last window, seed's place) of the stretches of a block, places in the text."""
     width = length - SEED + 1
     out = []
     for begin in range(0, max(1, len(data) - length + 1), PART):
@@ -95,7 +99,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int):
         seeds = ranks[picked[first]]
         spans = _joined(ranks, first, last + length) + T.mix((picked[first] - first).astype(np.uint64))
         rows = row[first]
-        out.append((rows, seeds, spans, first + begin - offsets[rows], last + begin - offsets[rows]))
+        out.append((rows, seeds, spans, first + begin - offsets[rows], last + begin - offsets[rows], picked[first] + begin - offsets[rows]))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
 
 
@@ -106,48 +110,91 @@ def _find_stretches(length: int):
             for block in T.blocks(batch.column("text")):
                 if (found := _stretches(block.data, block.offsets, length)) is None:
                     continue
-                rows, seeds, spans, first, last = found
+                rows, seeds, spans, first, last, places = found
                 # Repeats within a block are counted here.
                 pair = T.mix(seeds + _K) ^ spans
                 _, at, n = np.unique(pair, return_index=True, return_counts=True)
                 rows = rows[at] + block.first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (seeds[at].view(np.int64), spans[at].view(np.int64), n.astype(np.int64), docs[rows], keys[rows], first[at].astype(np.int32), last[at].astype(np.int32))],
-                    ["seed", "span", "n", "doc", "key", "first", "last"],
+                    [pa.array(x) for x in (seeds[at].view(np.int64), spans[at].view(np.int64), n.astype(np.int64), docs[rows], keys[rows], first[at].astype(np.int32), last[at].astype(np.int32), places[at].astype(np.int32))],
+                    ["seed", "span", "n", "doc", "key", "first", "last", "at"],
+                )
+
+    return run
+
+
+def _ranked(batch: pa.RecordBatch, text: str, length: int, names: tuple[str, ...]):
+    """For parts of a batch with lists of window runs: (rows, the runs' ``names``, text begins, run and place of each window, its rank, all ranks)."""
+    lists = batch.column("open")
+    for block in T.blocks(batch.column("row").field(text)):
+        found = lists.slice(block.first, block.rows)
+        entries = found.flatten()
+        row = np.repeat(np.arange(block.rows), found.value_lengths().to_numpy())
+        fields = [entries.field(c).to_numpy() for c in names]
+        first, last = (entries.field(c).to_numpy() for c in ("first", "last"))
+        begin = 0
+        while begin < len(row):
+            # Runs of neighbouring texts, ranked together up to PART windows.
+            end = begin + max(1, int(np.searchsorted(np.cumsum(last[begin:] - first[begin:] + 1), PART)))
+            cut = slice(begin, end)
+            begin = end
+            base = block.offsets[row[cut]]
+            low, high = int((first[cut] + base).min()), int((last[cut] + base).max()) + length
+            ranks = _seed_ranks(block.data[low:high])
+            count = (last[cut] - first[cut] + 1).astype(np.int64)
+            of = np.repeat(np.arange(len(count)), count)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[cut][of]
+            start = place + base[of] - low
+            yield row[cut] + block.first, [x[cut] for x in fields], base - low, of, place, _joined(ranks, start, start + length), ranks
+
+
+def _find_blocks(length: int, text: str):
+    """Rows (part, whole, n, doc, key, first, last): blocks of windows of the stretches that seeds don't settle.
+
+    Windows are put in blocks of BLOCK by the distance of their seed, so equal windows
+    are in the same one. ``part`` ranks the bytes that all windows of a block share, and
+    ``whole`` all its windows together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, keys = (batch.column(c).to_numpy() for c in ("doc", "key"))
+            for rows, (seed, n, at), base, of, place, windows, ranks in _ranked(batch, text, length, ("seed", "n", "at")):
+                far = at[of] - place
+                group = far // BLOCK
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (group[1:] != group[:-1])
+                heads = np.flatnonzero(new)
+                stops = np.append(heads[1:], len(of))
+                run_of, group = of[heads], group[heads]
+                latest = (at + base)[run_of] - group * BLOCK
+                part = _joined(ranks, latest, latest - BLOCK + 1 + length) ^ T.mix(seed[run_of].view(np.uint64) + group.astype(np.uint64))
+                total = np.concatenate(([np.uint64(0)], np.cumsum(T.mix(windows + far.astype(np.uint64) * _K), dtype=np.uint64)))
+                whole = T.mix(total[stops] - total[heads])
+                texts = rows[run_of]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(x)
+                        for x in (T.mix(part).view(np.int64), whole.view(np.int64), n[run_of], docs[texts], keys[texts], place[heads].astype(np.int32), place[stops - 1].astype(np.int32))
+                    ],
+                    ["part", "whole", "n", "doc", "key", "first", "last"],
                 )
 
     return run
 
 
 def _find_windows(length: int, text: str):
-    """The windows of the stretches that seeds alone don't settle, ranked at full length."""
+    """Rows (part, window, n, doc, key, first): the windows of the blocks that are open still."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, keys = (batch.column(c).to_numpy() for c in ("doc", "key"))
-            lists = batch.column("open")
-            for block in T.blocks(batch.column("row").field(text)):
-                part = lists.slice(block.first, block.rows)
-                entries = part.flatten()
-                row = np.repeat(np.arange(block.rows), part.value_lengths().to_numpy())
-                seed, span, n, first, last = (entries.field(c).to_numpy() for c in ("seed", "span", "n", "first", "last"))
-                base = block.offsets[row]
-                # Each stretch lies in one text; its bytes alone are ranked.
-                count = (last - first + 1).astype(np.int64)
-                which = np.repeat(np.arange(len(row)), count)
-                place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]
-                start = place + base[which]
-                for begin in range(0, len(start), PART):
-                    cut = slice(begin, begin + PART)
-                    at, of = start[cut], which[cut]
-                    low, high = int(at.min()), int(at.max()) + length
-                    ranks = _seed_ranks(block.data[low:high])
-                    full = _joined(ranks, at - low, at - low + length)
-                    rows = row[of] + block.first
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (seed[of], full.view(np.int64), span[of], n[of] > 1, docs[rows], keys[rows], place[cut].astype(np.int32))],
-                        ["seed", "window", "span", "many", "doc", "key", "first"],
-                    )
+            for rows, (part, n), _, of, place, windows, _ in _ranked(batch, text, length, ("part", "n")):
+                texts = rows[of]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (part[of], windows.view(np.int64), n[of], docs[texts], keys[texts], place.astype(np.int32))],
+                    ["part", "window", "n", "doc", "key", "first"],
+                )
 
     return run
 
@@ -245,29 +292,37 @@ def _with_unique(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFr
         F.xxhash64(F.col(text), F.col(doc_id).isNull()).alias("key"),
     )
     place = "doc long, key long, first int"
-    stretches = keyed.select("doc", "key", F.col("row")[text].alias("text")).mapInArrow(_find_stretches(length), f"seed long, span long, n long, {place}, last int")
-    counted = (
-        stretches.repartition("seed")
-        .groupBy("seed", "span")
-        .agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("doc", "key", "first", "last")])
-        .withColumn("spans", F.count("*").over(Window.partitionBy("seed")))
-    )
-    alone = counted.where("n = 1 and spans = 1").select("doc", "key", "first", "last")
-    # Of each different stretch of a seed one is ranked again, window by window. The
-    # whole row goes along, so that this join and the last one share one exchange.
-    several = counted.where("spans > 1").groupBy("doc", "key").agg(F.collect_list(F.struct("seed", "span", "n", "first", "last")).alias("open"))
-    windows = (
-        keyed.join(several, ["doc", "key"])
-        .select("row", "doc", "key", "open")
-        .mapInArrow(_find_windows(length, text), f"seed long, window long, span long, many boolean, {place}")
-    )
-    single = (
-        windows.groupBy("seed", "window")
-        .agg(F.min("span").alias("low"), F.max("span").alias("high"), F.max("many").alias("many"), *[F.first(c).alias(c) for c in ("doc", "key", "first")])
-        .where("low = high and not many")
-        .select("doc", "key", "first", F.col("first").alias("last"))
-    )
-    unique = alone.union(single).groupBy("doc", "key").agg(F.collect_list(F.struct("first", "last")).alias("unique"))
+
+    def settled(ranked: DataFrame, group: str, whole: str, *carried: str) -> DataFrame:
+        """One row of each (group, whole), but for groups that are all the same and repeat; ``open`` if others are in the group."""
+        counted = ranked.repartition(group).groupBy(group, whole).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("doc", "key", "first", *carried)])
+        others = counted.withColumn("open", F.count("*").over(Window.partitionBy(group)) > 1).where("n = 1 or open")
+        # What only open rows need is left out of the rest.
+        return stored(others.select(F.when(F.col("open"), F.col(group)).alias(group), "n", "doc", "key", "first", *carried, "open"))
+
+    def texts_with(rows: DataFrame, *names: str) -> DataFrame:
+        lists = rows.where("open").groupBy("doc", "key").agg(F.collect_list(F.struct(*names)).alias("open"))
+        return keyed.join(lists, ["doc", "key"])
+
+    stretches = keyed.select("doc", "key", F.col("row")[text].alias("text")).mapInArrow(_find_stretches(length), f"seed long, span long, n long, {place}, last int, at int")
+    by_seed = settled(stretches, "seed", "span", "last", "at")
+    release(docs.sparkSession)
+
+    # Of each different stretch of a seed one is ranked again, by blocks of its windows.
+    blocks = texts_with(by_seed, "seed", "n", "first", "last", "at").mapInArrow(_find_blocks(length, text), f"part long, whole long, n long, {place}, last int")
+    by_block = settled(blocks, "part", "whole", "last")
+    release(docs.sparkSession)
+
+    # Of each different block with the same part, each window is compared.
+    windows = texts_with(by_block, "part", "n", "first", "last").mapInArrow(_find_windows(length, text), f"part long, window long, n long, {place}")
+    by_window = windows.groupBy("part", "window").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("doc", "key", "first")]).where("n = 1")
+    single = stored(by_window.select("doc", "key", "first", F.col("first").alias("last")))
+    release(docs.sparkSession)
+
+    unique, *more = (x.select("doc", "key", "first", "last") for x in (by_seed.where("not open"), by_block.where("not open"), single))
+    for rows in more:
+        unique = unique.union(rows)
+    unique = unique.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "last")).alias("unique"))
     return keyed.join(unique, ["doc", "key"], "left").select("row", "unique")
 
 
