@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hailgrid.llm.curve_neighbours import neighbours
 from hailgrid.llm.decontaminate import contamination
 from hailgrid.llm.language_id import fit_languages, identify_languages
 from hailgrid.llm.near_dedup import near_duplicates
@@ -34,6 +35,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of each vector of ``embeddings`` whose id is divisible by 50."""
+    return neighbours(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ``documents`` inside ten-word windows of ``benchmark``."""
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
@@ -108,8 +114,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline on ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_curve_neighbours": op3_curve_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
@@ -117,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -341,9 +341,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, n_chars: str | None = None) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``, all rows and columns kept; see ``repeated_spans``.
 
-    Characters that a repeated string covers in part stay, so texts remain valid.
+    Characters that a repeated string covers in part stay, so texts remain valid. The
+    column ``n_chars``, if it is named, becomes the new length.
     """
-    return _with_unique(docs, doc_id, text, length).mapInArrow(_rewritten(length, docs.columns, text), docs.schema)
+    kept = _with_unique(docs, doc_id, text, length).mapInArrow(_rewritten(length, docs.columns, text), docs.schema)
+    return kept.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars else kept
