@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hailgrid.llm import text as T
-from hailgrid.llm.sampling import bounded_sample
+from hailgrid.llm.sampling import labelled_sample
 
 STATISTICS = (
     "bytes", "words", "word_length", "letters", "digits", "capitals", "signs", "non_ascii", "lines", "line_length",
@@ -165,9 +165,11 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def fit_quality(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    doc_id: str = "doc_id",
     text: str = "text",
-    label: str = "label",
     metadata: tuple[str, ...] = (),
     sample_rows: int = 4000,
     buckets: int = 1 << 13,
@@ -176,14 +178,12 @@ def fit_quality(
     rate: float = 0.05,
     decay: float = 1e-4,
 ) -> QualityModel:
-    """A machine from at most about ``sample_rows`` rows of each label (0 or 1), weighted to the labels' true shares.
+    """A machine from at most about ``sample_rows`` documents of each label (0 or 1), weighted to the labels' true shares.
 
     The driver holds the sample's features, at most ``2 * sample_rows * buckets`` numbers.
-    Rows with null labels are left out; null texts count as empty. Without rows the score is 0.5.
+    Null labels are left out; null texts count as empty. Without rows the score is 0.5.
     """
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"), *metadata).where("label in (0, 1)")
-    shares = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    sample = bounded_sample(rows, "label", sample_rows, F.col("text"))
+    sample, shares = labelled_sample(docs, labels, label, sample_rows, doc_id, text, metadata)
     table = sample.mapInArrow(_features(metadata, buckets), "label int, ids array<int>, values array<float>, statistics array<double>").toArrow()
     width = len(STATISTICS) + len(metadata)
     wide = width * STEPS

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hailgrid.llm.curve_neighbours import neighbours
 from hailgrid.llm.decontaminate import contamination
 from hailgrid.llm.language_id import fit_languages, identify_languages
+from hailgrid.llm.license_scan import license_spans
 from hailgrid.llm.near_dedup import near_duplicates
 from hailgrid.llm.packing import pack
 from hailgrid.llm.quality import fit_quality, score_quality
@@ -35,6 +36,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts and notices in ``documents``."""
+    return license_spans(_table(spark, sf_dir, "documents"))
+
+
 def op3_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest found of each vector of ``embeddings`` whose id is divisible by 50."""
     return neighbours(_table(spark, sf_dir, "embeddings"), k=5, every=50)
@@ -85,10 +91,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, held_out: int, *columns: str) -> DataFrame:
-    """(text, label) and ``columns`` of the documents whose ``label`` may be learnt from: crc32 of the id, modulo ``parts``, isn't ``held_out``."""
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where(part_of("doc_id", parts) != held_out)
-    return _table(spark, sf_dir, "documents").select("doc_id", "text", *columns).join(labels, "doc_id").select("text", "label", *columns)
+def learnable(spark: SparkSession, sf_dir: str, parts: int, held_out: int) -> DataFrame:
+    """The rows of ``labels`` that may be learnt from: crc32 of the id, modulo ``parts``, isn't ``held_out``."""
+    return _table(spark, sf_dir, "labels").where(part_of("doc_id", parts) != held_out)
 
 
 def part_of(doc_id: str, parts: int) -> Column:
@@ -97,13 +102,14 @@ def part_of(doc_id: str, parts: int) -> Column:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of ``documents``."""
-    model = fit_quality(labelled(spark, sf_dir, "quality", 3, 1, "n_chars"), metadata=("n_chars",))
-    found = score_quality(_table(spark, sf_dir, "documents"), model)
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, learnable(spark, sf_dir, 3, 1), metadata=("n_chars",))
+    found = score_quality(docs, model)
     return found.select("doc_id", F.coalesce(part_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> ToxicityModel:
-    return fit_toxicity(labelled(spark, sf_dir, "toxic", 4, 2))
+    return fit_toxicity(_table(spark, sf_dir, "documents"), learnable(spark, sf_dir, 4, 2))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_curve_neighbours": op3_curve_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,

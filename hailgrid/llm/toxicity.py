@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hailgrid.llm import text as T
-from hailgrid.llm.sampling import bounded_sample
+from hailgrid.llm.sampling import labelled_sample
 
 # Shares of a window are told apart in so many steps when calibrating.
 MARGINS = 24
@@ -149,14 +149,21 @@ def _train(windows: list[str], size: int) -> bytes:
 
 
 def fit_toxicity(
-    labelled: DataFrame, text: str = "text", label: str = "label", sample_rows: int = 6000, toxic_bytes: int = 16384, ordinary_bytes: int = 65536
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    sample_rows: int = 6000,
+    toxic_bytes: int = 16384,
+    ordinary_bytes: int = 65536,
 ) -> ToxicityModel:
-    """Dictionaries and calibration from at most about ``sample_rows`` rows of each label (0 ordinary, 1 toxic).
+    """Dictionaries and calibration from at most about ``sample_rows`` documents of each label (0 ordinary, 1 toxic).
 
-    Rows with null text or label are left out. Without rows of both labels the model scores all texts alike.
+    Null texts and labels are left out. Without rows of both labels the model scores all texts alike.
     """
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    sample = bounded_sample(rows, "label", sample_rows, F.col("text"))
+    sample, shares = labelled_sample(docs, labels, label, sample_rows, doc_id, text)
+    sample = sample.where("text is not null")
     # Two thirds train the dictionaries, the rest calibrates. Equal texts are in the same part.
     spare = F.pmod(F.xxhash64("text", F.lit("part")), F.lit(3)) == 0
     words = (
@@ -184,9 +191,8 @@ def fit_toxicity(
     best, margin, scores = -np.inf, MARGINS, (0.0,) * (MOST + 1)
     if total["toxic"] and total["ordinary"]:
         # Ordinary rows may have been sampled more thinly; the share of toxic ones is that of all labelled rows.
-        shares = rows.agg(F.count_if(F.col("label") == 1).alias("a"), F.count("*").alias("n")).first()
-        weight = np.array([(shares["n"] - shares["a"]) / total["ordinary"], shares["a"] / total["toxic"]])
-        prior = shares["a"] / shares["n"]
+        weight = np.array([shares[0] / total["ordinary"], shares[1] / total["toxic"]])
+        prior = shares[1] / (shares[0] + shares[1])
         for m in range(1, MARGINS + 1):
             counts = table[m] * weight
             p = (counts[:, 1] + prior) / (counts.sum(1) + 1)
