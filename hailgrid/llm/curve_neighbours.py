@@ -63,6 +63,13 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.array(column.flatten(), np.float64).reshape(-1, size)
 
 
+def _scaled(keys: list[bytes], size: int) -> np.ndarray:
+    """Vectors times a power of two, which changes no cosine, so that their squares neither overflow nor vanish."""
+    vectors = np.frombuffer(b"".join(keys), np.float64).reshape(-1, size)
+    _, exponents = np.frexp(np.abs(vectors).max(1, initial=0))
+    return np.ldexp(vectors, -exponents[:, None])
+
+
 def _distinct(size: int, most: int, every: int):
     """Rows (vector, key, ids, asked) of a batch's distinct vectors: the least ids of each, and whether one is a query."""
 
@@ -97,8 +104,8 @@ def _on_curves(size: int, curves: int, axes: int, seed: int):
         directions = random.normal(size=(curves, size, axes))
         shifts = random.random((curves, axes))
         for batch in batches:
-            vectors = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.float64).reshape(-1, size)
-            unit = vectors / np.sqrt((vectors / np.abs(vectors).max(1, keepdims=True)) ** 2 @ np.ones((size, 1))) / np.abs(vectors).max(1, keepdims=True)
+            vectors = _scaled(batch.column("key").to_pylist(), size)
+            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
             for c in range(curves):
                 # Spread evenly over the cells, then shifted by less than one breadth.
                 even = 0.5 + 0.5 * np.tanh(0.8 * (unit @ directions[c]))
@@ -135,7 +142,7 @@ def _nearest(size: int, most: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found = {"query": [], "near": []}
         if rows.num_rows and queries.num_rows:
-            a, b = (np.frombuffer(b"".join(t.column("key").to_pylist()), np.float64).reshape(-1, size) for t in (rows, queries))
+            a, b = (_scaled(t.column("key").to_pylist(), size) for t in (rows, queries))
             length_a, length_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
             ranks, ids = rows.column("rank").to_numpy(), rows.column("ids").to_pylist()
             low, high = queries.column("low").to_numpy(), queries.column("high").to_numpy()
