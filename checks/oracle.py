@@ -11,7 +11,16 @@ import math
 
 from checks import queries as q
 from checks import sample
-from hailgrid.schema import BY_NAME, DEFAULT_STAT_FIELDS, FIELDS, Histogram
+
+# The columns of a layer, the statistics of a full reply and the bins of its histograms.
+LAYER_COLUMNS = [
+    "vendor_id", "pickup_datetime", "dropoff_datetime", "passenger_count", "trip_distance", "pickup_longitude", "pickup_latitude",
+    "pickup_location", "store_and_fwd_flag", "rate_code_id", "dropoff_longitude", "dropoff_latitude", "dropoff_location", "payment_type",
+    "fare_amount", "extra", "mta_tax", "improvement_surcharge", "tip_amount", "tolls_amount", "total_amount", "trip_type", "ehail_fee",
+    "time_of_day_sec", "cab_type",
+]
+SUMMARIES = ["passenger_count", "trip_distance", "fare_amount", "tip_amount", "tolls_amount", "total_amount"]
+HISTOGRAMS = {"vendor_id": (0, 2), "rate_code_id": (1, 6), "payment_type": (0, 6), "cab_type": (0, 2)}
 
 TRIPS = sample.TRIPS.format(epoch=sample.DUCK_EPOCH.format("l_shipdate"))
 CELLS = sample.CELLS.format(epoch=sample.DUCK_EPOCH.format("l_shipdate"))
@@ -84,11 +93,10 @@ def _histogram(name: str, first: int, last: int) -> list[str]:
     return [f"count(*) filter (where {name} = {b}) as {name}_{b}" for b in range(first, last + 1)]
 
 
-def stats(fields=DEFAULT_STAT_FIELDS, count: bool = True, duration: bool = True, places: int = q.WHOLE_PLACES) -> str:
+def stats(fields=(*SUMMARIES, *HISTOGRAMS), count: bool = True, duration: bool = True, places: int = q.WHOLE_PLACES) -> str:
     out = ["count(*) as count"] if count else []
     for name in fields:
-        stat = BY_NAME[name].stat
-        out += _histogram(name, stat.first, stat.last) if isinstance(stat, Histogram) else _summary(name, name, places)
+        out += _histogram(name, *HISTOGRAMS[name]) if name in HISTOGRAMS else _summary(name, name, places)
     if duration:
         out += _summary("duration", "duration_s", places)
     return ", ".join(out)
@@ -256,6 +264,9 @@ _LON = "case when plon in ('', 'west') then 0e0 else cast(plon as double) end"
 def _parsed_time(second: str) -> str:
     return (
         f"case mode when 'blank' then null when 'roll' then cast(epoch(make_date(cast(year(day) + 1 as int), 2, 14)) as bigint) + {second} "
+        f"when 'far' then cast(epoch(make_date(cast(year(day) + 10000 as int), cast(month(day) as int), cast(day(day) as int))) as bigint) + {second} "
+        f"when 'long' then day_s + 1000000 + {second} "
+        f"when 'minus' then cast(epoch(make_date(cast(year(day) - 1 as int), 11, 1)) as bigint) + (cast(day(day) as bigint) - 1) * 86400 + {second} "
         f"else day_s + {second} end"
     )
 
@@ -281,7 +292,7 @@ def _parse_trips() -> str:
         {double('mta', {0: 14, 1: 14, 2: 14, 3: 13})} as mta_tax, {double('surcharge', {0: 13, 1: 13, 2: 17})} as improvement_surcharge,
         {double('tip', {0: 15, 1: 15, 2: 15, 3: 14})} as tip_amount, {double('tolls', {0: 16, 1: 16, 2: 16, 3: 15})} as tolls_amount,
         {double('total', {0: 17, 1: 17, 2: 18, 3: 17})} as total_amount, {field('2', {3: 19}, '0')} as trip_type,
-        {double('ehail', {3: 16})} as ehail_fee, tod as time_of_day_sec,
+        {double('ehail', {3: 16})} as ehail_fee, case mode when 'long' then mod(1000000 + tod, 86400) else tod end as time_of_day_sec,
         case layout when 3 then 2 else 1 end as cab_type
       from (select *, mod(l_partkey, 83) = 5 as cut from ({CELLS})
         where layout < 4 and mod(l_partkey, 79) <> 6 and mode <> 'blank' and plon not in ('', 'west'))"""
@@ -349,7 +360,7 @@ _PARTS = f"""select c_custkey, c_name as name, borough, 0 as part, {_SQUARE} as
 
 
 def _features(role: str) -> str:
-    names = [f.name for f in FIELDS]
+    names = list(LAYER_COLUMNS)
     if role == "dropoff":
         names[7], names[12] = names[12], names[7]
     plain = {
@@ -406,8 +417,8 @@ def oracle_sql() -> dict[str, str]:
         "trip_query": f"select {stats()} from ({VALID}) where {flagship}",
         "trip_query_circles": f"select {stats([])} from ({VALID}) where {circles}",
         "trip_stats": f"select {stats()} from ({VALID})",
-        "minmaxtot_stats": f"select {stats(q.SUMMARY_FIELDS, count=False, duration=False)} from ({TRIPS})",
-        "int_histogram": f"select {stats(q.HISTOGRAM_FIELDS, count=False, duration=False)} from ({TRIPS})",
+        "minmaxtot_stats": f"select {stats(SUMMARIES, count=False, duration=False)} from ({TRIPS})",
+        "int_histogram": f"select {stats(HISTOGRAMS, count=False, duration=False)} from ({TRIPS})",
         "duration_stats": f"select {stats([])} from ({TRIPS})",
         "selected_stats": f"select {stats(['tip_amount', 'cab_type'])} from ({VALID})",
         "merged_stats": f"select {stats()} from ({VALID})",

@@ -137,7 +137,8 @@ COUNTS = ["3", "+5", " 3 ", "1.5", "99999999999", "-2", "", "1"]
 AMOUNTS = ["abc", "", " 2.5", "NaN", "inf", "1d", "-0.5"]
 
 # Cells of one line per lineitem row. ``mode`` is how the two times are written:
-# padded, single digits, month 13, text after it, blank, or padded by default.
+# padded, single digits, month 13, text after it, blank, a five-digit year, seconds of
+# eight digits, month -1, or padded by default.
 CELLS = (
     "select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(mod(l_orderkey, 5) as int) as layout, "
     + ", ".join(
@@ -151,7 +152,8 @@ CELLS = (
         ]
     )
     + """,
-  case mod(l_suppkey, 17) when 1 then 'single' when 2 then 'roll' when 3 then 'tail' when 4 then 'blank' else 'padded' end as mode,
+  case mod(l_suppkey, 17) when 1 then 'single' when 2 then 'roll' when 3 then 'tail' when 4 then 'blank' when 5 then 'far'
+    when 6 then 'long' when 7 then 'minus' else 'padded' end as mode,
   {epoch} as day_s, cast(l_shipdate as date) as day,
   mod(l_orderkey * 7919 + l_linenumber * 3607 + l_partkey * 13, 86400) as tod,
   case mod(l_partkey, 89) when 7 then '' when 8 then 'west' else
@@ -181,7 +183,10 @@ def _time_text(day: str, second: str) -> str:
     return (
         f"case mode when 'single' then concat({year}, '-', {month}, '-', {dom}, ' ', {loose}) "
         f"when 'roll' then concat({year}, '-13-45 ', {_clock(second)}) "
-        f"when 'tail' then concat({padded}, ' EST') when 'blank' then '' else concat({padded}) end"
+        f"when 'tail' then concat({padded}, ' EST') when 'blank' then '' "
+        f"when 'far' then concat('1', cast({day} as string), ' ', {_clock(second)}) "
+        f"when 'long' then concat(cast({day} as string), ' 00:00:0', cast(1000000 + ({second}) as string)) "
+        f"when 'minus' then concat({year}, '--1-', {dom}, ' ', {_clock(second)}) else concat({padded}) end"
     )
 
 
@@ -195,16 +200,14 @@ def spark_cells() -> str:
 def read(spark: SparkSession, sf_dir: str, *names: str, spread: bool = False) -> None:
     """Registers tables under their own names for the SQL in this module.
 
-    ``spread`` is for work that is heavy per row: a table with fewer input
-    splits than there are cores (the given files have one row group each) is
-    dealt out to all of them. Larger tables are left as they are.
+    ``spread`` is for work that is heavy per row: the table is dealt out to all
+    cores, as the given files have one row group each.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in names:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        cores = spark.sparkContext.defaultParallelism
-        if spread and table.rdd.getNumPartitions() < cores:
-            table = table.repartition(cores)
+        if spread:
+            table = table.repartition(spark.sparkContext.defaultParallelism)
         table.createOrReplaceTempView(name)
 
 

@@ -27,8 +27,9 @@ BASE_BUFFER = 0.0041
 CIRCLE_SIDES = 20
 
 AREA_TYPE = "struct<xmin:double,ymin:double,xmax:double,ymax:double,x:double,y:double,radius:double>"
-# Longest convex ring written as a plain conjunction (stays in generated code).
-_UNROLLED_EDGES = 32
+# Longest convex ring written as a plain conjunction. Longer ones would make the
+# generated method too long to be compiled to machine code.
+_UNROLLED_EDGES = 4
 
 Ring = Sequence[tuple[float, float]]
 
@@ -95,9 +96,26 @@ class Polygon:
         if turn and len(edges) <= _UNROLLED_EDGES:
             sides = [_side(x, y, x1, y1, x2, y2) for x1, y1, x2, y2 in edges]
             return reduce(lambda a, b: a & b, [s >= 0 if turn > 0 else s <= 0 for s in sides], near)
+        if turn:
+            return near & _convex_cover(edges, turn, x, y)
         return near & edges_cover(_edge_array(edges), x, y)
 
 
+def _convex_cover(edges: list[tuple[float, float, float, float]], turn: int, x: Column, y: Column) -> Column:
+    """Point in a convex ring of many sides.
+
+    The distance from the middle settles nearly all points: within the inscribed
+    circle or beyond the farthest corner, each with room for rounding. The sides
+    decide the rest, in a loop.
+    """
+    mx, my = (sum(e[i] for e in edges) / len(edges) for i in (0, 1))
+    within = min(abs((my - y1) * (x2 - x1) - (mx - x1) * (y2 - y1)) / (math.hypot(x2 - x1, y2 - y1) or 1) for x1, y1, x2, y2 in edges if (x1, y1) != (x2, y2))
+    beyond = max((x1 - mx) ** 2 + (y1 - my) ** 2 for x1, y1, _, _ in edges)
+    square = (x - mx) * (x - mx) + (y - my) * (y - my)
+    sides = F.forall(_edge_array(edges), lambda e: _side(x, y, e.x1, e.y1, e.x2, e.y2) * turn >= 0)
+    return (square <= within * within * (1 - 1e-6)) | ((square <= beyond * (1 + 1e-6)) & sides)
+
+
 @dataclass(frozen=True)
 class Area:
     """A query area of one or more polygons."""

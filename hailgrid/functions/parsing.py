@@ -31,11 +31,12 @@ _INTEGER = r"^[+-]?[0-9]+$"
 _NUMBER = r"^-?(0x[0-9a-f]+|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?[dfl]?)$"
 # A date-time that Spark's own cast reads the same way.
 _PLAIN_TIME = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}%s[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
-# Any date-time the lenient rules accept: blanks before a number, any text after.
-_LENIENT_TIME = (
-    r"^[ \t]*[0-9]{1,4}-[ \t]*[0-9]{1,6}-[ \t]*[0-9]{1,6}%s"
-    r"[ \t]*[0-9]{1,6}:[ \t]*[0-9]{1,6}:[ \t]*[0-9]{1,6}(?![0-9])"
-)
+# Any date-time the lenient rules accept: blanks and a minus before a number, any
+# number of digits, any text after.
+_PART = r"[ \t]*(-?[0-9]+)"
+_LENIENT_TIME = f"(?s)^{_PART}-{_PART}-{_PART}%s{_PART}:{_PART}:{_PART}.*$"
+# Seconds that a timestamp can hold on either side of 1970.
+_LAST_SECOND = 9_000_000_000_000
 
 
 def parse_int(text: Column) -> Column:
@@ -60,17 +61,28 @@ def lenient_epoch_seconds(text: Column, separator: str = " ") -> Column:
     stands between date and time.
     """
     plain = F.unix_seconds(F.concat(text, F.lit("Z")).try_cast("timestamp"))
-    numbers = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
-    year, month, day, hour, minute, second = (F.get(numbers, F.lit(i)).cast("int") for i in range(6))
-    first_of_month = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
-    days = F.unix_date(first_of_month) + day - 1
-    rolled = days.cast("long") * 86400 + hour.cast("long") * 3600 + minute * 60 + second
+    pattern = _LENIENT_TIME % separator
+    numbers = F.split(F.regexp_replace(text, pattern, "$1,$2,$3,$4,$5,$6"), ",")
+    # A number beyond 32 bits gives NULL; sums of 32-bit parts fit in 64 bits.
+    year, month, day, hour, minute, second = (F.get(numbers, F.lit(i)).try_cast("int").cast("long") for i in range(6))
+    rolled = _epoch_day(year, month, day) * 86400 + hour * 3600 + minute * 60 + second
     return F.coalesce(
         F.when(text.rlike(_PLAIN_TIME % separator), plain),
-        F.when(text.rlike(_LENIENT_TIME % separator), rolled),
+        F.when(text.rlike(pattern), F.when(F.abs(rolled) <= _LAST_SECOND, rolled)),
     )
 
 
+def _epoch_day(year: Column, month: Column, day: Column) -> Column:
+    """Days since 1970 of a Gregorian date whose month and day may lie outside their ranges.
+
+    Years are counted from March, so that a leap day is the last of its year.
+    """
+    months = year * 12 + (month - 1) - 2
+    from_march, shifted = F.floor(months / 12), F.pmod(months, F.lit(12))
+    leaps = F.floor(from_march / 4) - F.floor(from_march / 100) + F.floor(from_march / 400)
+    return from_march * 365 + leaps + F.floor((shifted * 153 + 2) / 5) + day - 1 - 719468
+
+
 def vendor_code(text: Column) -> Column:
     """1 or 2 for the known codes and names, 0 for anything else."""
     out = F.when(F.lit(False), F.lit(0))

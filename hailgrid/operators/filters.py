@@ -7,7 +7,7 @@ the exact shape only on rows that pass.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,9 +69,16 @@ def trip_filter(
     return keep
 
 
+def instant(moment: datetime) -> Column:
+    """A point in time; without a zone it is UTC, whatever the zones of driver and session."""
+    aware = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+    since = aware - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    return F.timestamp_micros(F.lit(since // timedelta(microseconds=1)))
+
+
 def in_period(start: datetime, end: datetime, area: Area, role: str = PICKUP) -> Column:
     """Absolute time range and area on the point and time of one layer."""
-    return F.col(f"{role}_datetime").between(F.lit(start), F.lit(end)) & in_area(area, role)
+    return F.col(f"{role}_datetime").between(instant(start), instant(end)) & in_area(area, role)
 
 
 def area_blocks(area: Area) -> list[int]:

@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a lookup side that may be broadcast, counted before the join. A row
-# has at most about 1 KB (a full set of statistics, an area of 20 edges), so the
-# broadcast stays near 100 MB.
+# A lookup table is broadcast up to so many rows and so many bytes of its text form.
 BROADCAST_ROWS = 100_000
-# Copies of the lookup side when it is too large for that, so that the rows of
-# one hot key are spread over as many tasks.
-LOOKUP_SALTS = 16
+BROADCAST_BYTES = 64 << 20
+# Rows of one key from which its table row is sent to the rows instead, and a bound on such keys.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
 
 
-def lookup(
-    rows: DataFrame, table: DataFrame, keys: list[str], table_rows: int, spread: Column, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def _fits(table: DataFrame, rows: int, most: int) -> bool:
+    if rows > most:
+        return False
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], table_rows: int, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of ``rows`` with a ``table`` that has one row per key.
 
-    A table of checked size is broadcast. A larger one is repeated
-    ``LOOKUP_SALTS`` times and joined on key and salt, where the salt is a hash
-    of ``spread`` (a column that differs between rows with the same key).
+    A table of checked size is broadcast. For a larger one the rows of each key are
+    counted: keys with very many are few, so their table rows are broadcast, and those
+    rows stay where they are; only the others are shuffled.
     """
-    if table_rows <= broadcast_rows:
+    if _fits(table, table_rows, broadcast_rows):
         return rows.join(F.broadcast(table), keys, "left")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1)))
-    salted = table.withColumn("_salt", salts)
-    return (
-        rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(LOOKUP_SALTS)).cast("int"))
-        .join(salted, [*keys, "_salt"], "left")
-        .drop("_salt")
-    )
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") > max(hot_rows, total // HOT_KEYS)).select(*keys)
+    hot_table = table.join(F.broadcast(hot), keys, "left_semi").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot_table.select(*keys, "_hot")), keys, "left")
+    many = marked.where("_hot").drop("_hot").join(F.broadcast(hot_table.drop("_hot")), keys, "left")
+    few = marked.where("_hot is null").drop("_hot").join(table, keys, "left")
+    return many.unionByName(few)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import hailgrid as hg
 from hailgrid.functions import geometry
-from hailgrid.operators import lookup as lookups
+from hailgrid.checkpoints import ensure_checkpoint_dir
 from hailgrid.operators.lookup import lookup
 from tests.test_trips import frame, trip
 
@@ -127,13 +127,14 @@ def test_addresses(spark, city, limits):
 def test_lookup_of_a_large_table(spark, monkeypatch):
     rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 20).alias("k"))
     table = spark.range(15).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small = lookup(rows, table, ["k"], 15, F.col("id"))
-    large = lookup(rows, table, ["k"], 15, F.col("id"), broadcast_rows=10)
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.select(small.columns).collect()))
+    small = lookup(rows, table, ["k"], 15)
+    for hot_rows in (1_000_000, 100):
+        large = lookup(rows, table, ["k"], 15, broadcast_rows=10, hot_rows=hot_rows)
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.select(small.columns).collect()))
 
 
 def test_checkpoint_folder_is_the_shared_one(spark):
-    lookups.ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
 
 
