@@ -129,3 +129,24 @@ def test_scan_reads_only_what_it_needs(spark, folder):
 
 def test_staged_schema_is_the_fixed_one():
     assert len(STAGED_FIELDS) == 23
+
+
+def test_many_headers_and_files_take_a_fixed_number_of_jobs(spark, tmp_path):
+    line = "2,2013-8-1 7:00:00,2013-8-1 7:20:00,-73.95,40.80,-73.99,40.73,12.5,2,1"
+
+    def jobs(count, folder):
+        folder.mkdir()
+        for i in range(count):
+            write(folder / f"green_{i}.csv", f"{NEW},other_{i}", line, "no trip here")
+        spark.sparkContext.setJobGroup(str(folder), "")
+        assert hg.read_trips(spark, str(folder)).count() == count
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(folder)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    assert jobs(250, tmp_path / "many") <= jobs(2, tmp_path / "few") + 4
+
+
+def test_only_a_first_line_is_a_header(spark, tmp_path):
+    (tmp_path / "yellow.csv").write_text(f"a comment\n{NEW}\n2,2013-8-1 7:00:00,2013-8-1 7:20:00,-73.95,40.80,-73.99,40.73,12.5,2,1\n")
+    assert hg.read_trips(spark, str(tmp_path)).count() == 0
