@@ -298,6 +298,13 @@ def _parse_trips() -> str:
         where layout < 4 and mod(l_partkey, 79) <> 6 and mode <> 'blank' and plon not in ('', 'west'))"""
 
 
+def _layer_trips() -> str:
+    """The distinct valid trips of the parsed lines."""
+    return f"""select distinct pickup_datetime as pickup_sec, dropoff_datetime as dropoff_sec, pickup_longitude, pickup_latitude,
+        dropoff_longitude, dropoff_latitude from ({_parse_trips()})
+        where pickup_longitude <> 0 and pickup_latitude <> 0 and dropoff_longitude <> 0 and dropoff_latitude <> 0 and time_of_day_sec <> 0"""
+
+
 # Field of every header cell, in the order of the layouts of the sample lines.
 _HEADER_FIELDS = (
     "vendor_id pickup_datetime dropoff_datetime passenger_count trip_distance pickup_longitude pickup_latitude rate_code_id store_and_fwd_flag "
@@ -475,6 +482,17 @@ def oracle_sql() -> dict[str, str]:
         "point_layer": f"{_points('pickup')} union all {_points('dropoff')}",
         "parse_trips": _parse_trips(),
         "header_mapping": _header_mapping(),
+        "csv_to_layer": f"""select cast(floor(mod(pickup_sec, 86400) / 3600) as int) as hour, role, count(*) as n,
+          cast(sum(dropoff_sec - pickup_sec) as bigint) as seconds
+          from ({_layer_trips()}) cross join (values ('pickup'), ('dropoff')) r(role) group by all""",
+        "stored_layer_scan": f"""select * from ({_layer_trips()}) where mod(pickup_sec, 86400) between {q.WINDOW[0]} and {q.WINDOW[1]}
+          and {_in_box(q.BOX_A, *PICK)} and {_in_box(q.BOX_B, *DROP)}""",
+        "stored_trip_query": f"""select count(*) as count, {', '.join(_summary('duration', '(dropoff_sec - pickup_sec)', 6))}
+          from ({_layer_trips()}) where mod(pickup_sec, 86400) between {q.WINDOW[0]} and {q.WINDOW[1]} and {_in_circle(q.CIRCLE, *PICK)}""",
+        "upsert_layer": f"""select fresh, count(*) as n, cast(sum(pickup_s) as bigint) as pickup_sum, cast(sum(dropoff_s) as bigint) as dropoff_sum
+          from (select pickup_s, dropoff_s, pickup_longitude, pickup_latitude, dropoff_longitude, dropoff_latitude,
+            bool_or(mod(l_orderkey, 2) = 0) as fresh from ({VALID}) where mod(l_orderkey, 3) <> 0 or mod(l_orderkey, 2) = 0
+            group by 1, 2, 3, 4, 5, 6) group by fresh""",
         "parse_datetime": f"select {IDS}, mode, {_parsed_time('tod')} as pickup_sec from ({CELLS})",
         "parse_numbers": f"select {IDS}, {_COUNT} as passengers, {_RATE} as rate, {_AMOUNT} as extra, {_LON} as lon from ({CELLS})",
         "norm_vendor": f"select {IDS}, {_VENDOR} as vendor_id from ({CELLS})",

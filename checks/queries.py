@@ -475,3 +475,65 @@ def cab_type(spark, sf_dir):
     return lines.groupBy("file_name", parsing.cab_code(F.col("file_name")).alias("cab_type")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+# From files to stored layers
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Both layers of the sample's CSV files; the last file kind comes as a second load."""
+    csv, staged = sample.csv_files(spark, sf_dir), sample.new_folder(spark, "staged")
+    hg.stage(spark, csv, staged, ingest_seq=0)
+    paths = {}
+    for role in (PICKUP, DROPOFF):
+        paths[role] = sample.new_folder(spark, f"layer-{role}")
+        hg.build_layer(spark, staged, paths[role], role)
+    return paths
+
+
+# What a trip is known by.
+PLACES = [f"{role}_{name}" for role in (PICKUP, DROPOFF) for name in ("longitude", "latitude")]
+
+
+def _known_by(rows: DataFrame) -> DataFrame:
+    times = [F.unix_seconds(f"{role}_datetime").alias(f"{role}_sec") for role in (PICKUP, DROPOFF)]
+    return rows.select(*times, *PLACES)
+
+
+@register
+def csv_to_layer(spark, sf_dir):
+    """Files of several headers, staged and stored: the trips of both layers by hour."""
+    parts = []
+    for role, path in _stored(spark, sf_dir).items():
+        rows = _known_by(spark.read.parquet(path)).withColumn("hour", F.floor(F.pmod("pickup_sec", F.lit(86400)) / 3600).cast("int"))
+        counted = rows.groupBy("hour").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dropoff_sec") - F.col("pickup_sec")).alias("seconds"))
+        parts.append(counted.withColumn("role", F.lit(role)))
+    return parts[0].unionByName(parts[1])
+
+
+@register
+def stored_layer_scan(spark, sf_dir):
+    """Trips of a stored layer between two areas at a time of day."""
+    path = _stored(spark, sf_dir)[DROPOFF]
+    return _known_by(hg.scan_layer(spark, path, DROPOFF, *WINDOW, hg.box(*BOX_A), hg.box(*BOX_B)))
+
+
+@register
+def stored_trip_query(spark, sf_dir):
+    """Count and durations of a stored layer's trips that start in a circle."""
+    rows = hg.scan_layer(spark, _stored(spark, sf_dir)[PICKUP], PICKUP, *WINDOW, pickup=hg.circle(*CIRCLE))
+    return hg.trip_stats(rows, [])
+
+
+@register
+def upsert_layer(spark, sf_dir):
+    """A stored layer after a second load that repeats some of its trips and brings others."""
+    base = sample.trips(spark, sf_dir).withColumn("ingest_seq", F.lit(0).cast("long"))
+    path = sample.new_folder(spark, "layer")
+    hg.write_layer(base.where("mod(l_orderkey, 3) <> 0"), path, sequence="ingest_seq")
+    load = base.where("mod(l_orderkey, 2) = 0").withColumn("fare_amount", F.lit(-1.0))
+    hg.upsert_layer(load, path, sequence="ingest_seq")
+    rows = spark.read.parquet(path).withColumn("fresh", F.col("fare_amount") == -1)
+    return rows.groupBy("fresh").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.unix_seconds("pickup_datetime")).alias("pickup_sum"), F.sum(F.unix_seconds("dropoff_datetime")).alias("dropoff_sum")
+    )

@@ -8,9 +8,12 @@ between them is passed in as a parameter.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hailgrid.checkpoints import ensure_checkpoint_dir
 from hailgrid.functions.geometry import place_key
 from hailgrid.schema import STAGED_FIELDS
 
@@ -285,6 +288,32 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the session's checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the sample lines as CSV files of several headers and names, and with files of another kind."""
+    folder = new_folder(spark, "csv")
+    every = lines(spark, sf_dir)
+    plain = {"sep": "\u0001", "quote": "", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    system = None
+    for file_name, header in zip(FILES, HEADERS, strict=True):
+        rows = every.where(F.col("file_name") == file_name).select(F.col("line").alias(header))
+        place = f"{folder}/{file_name.removesuffix('.csv')}"
+        rows.write.options(**plain).option("header", True).csv(place)
+        # The cab is read off the file's name.
+        jvm = spark._jvm.org.apache.hadoop.fs
+        system = system or jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for i, status in enumerate(system.listStatus(jvm.Path(place))):
+            if status.getPath().getName().endswith(".csv"):
+                system.rename(status.getPath(), jvm.Path(f"{place}/{file_name.removesuffix('.csv')}-{i}.csv"))
+    every.select("line").write.text(f"{folder}/notes")
+    return folder
+
+
 def polygon_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GeoJSON feature collections, one per customer, with a square (or two) in a borough."""
     read(spark, sf_dir, "customer")

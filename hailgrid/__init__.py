@@ -8,12 +8,12 @@ from hailgrid.operators.features import features, latest_trips
 from hailgrid.operators.filters import in_area, in_period, in_time_of_day, trip_filter, valid_trips
 from hailgrid.operators.geocoding import geocode, geocode_requests
 from hailgrid.operators.matching import Window, window_stats
-from hailgrid.plans.ingest import build_layer, stage
+from hailgrid.plans.ingest import build_layer, extend_layer, stage
 from hailgrid.plans.trip_query import trip_query
 from hailgrid.sources.headers import header_mapping
 from hailgrid.sources.polygon_layers import polygon_features, read_polygon_layer
 from hailgrid.sources.trip_csv import parse_lines, read_trips
-from hailgrid.sources.trip_store import read_staged, scan_layer, write_json, write_layer, write_staged
+from hailgrid.sources.trip_store import read_staged, scan_layer, upsert_layer, write_json, write_layer, write_staged
 
 __all__ = [
     "Area",
@@ -27,6 +27,7 @@ __all__ = [
     "estimate",
     "estimate_address",
     "estimate_json",
+    "extend_layer",
     "features",
     "geocode",
     "geocode_requests",
@@ -51,6 +52,7 @@ __all__ = [
     "trip_filter",
     "trip_query",
     "trip_stats",
+    "upsert_layer",
     "valid_trips",
     "window_stats",
     "with_departure",

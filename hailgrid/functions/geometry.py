@@ -27,9 +27,6 @@ BASE_BUFFER = 0.0041
 CIRCLE_SIDES = 20
 
 AREA_TYPE = "struct<xmin:double,ymin:double,xmax:double,ymax:double,x:double,y:double,radius:double>"
-# Longest convex ring written as a plain conjunction. Longer ones would make the
-# generated method too long to be compiled to machine code.
-_UNROLLED_EDGES = 4
 
 Ring = Sequence[tuple[float, float]]
 
@@ -93,16 +90,14 @@ class Polygon:
             return near
         edges = self.edges
         turn = self.turn()
-        if turn and len(edges) <= _UNROLLED_EDGES:
-            sides = [_side(x, y, x1, y1, x2, y2) for x1, y1, x2, y2 in edges]
-            return reduce(lambda a, b: a & b, [s >= 0 if turn > 0 else s <= 0 for s in sides], near)
         if turn:
             return near & _convex_cover(edges, turn, x, y)
         return near & edges_cover(_edge_array(edges), x, y)
 
 
 def _convex_cover(edges: list[tuple[float, float, float, float]], turn: int, x: Column, y: Column) -> Column:
-    """Point in a convex ring of many sides.
+    """Point in a convex ring. Written out, the sides of a few circles make a generated method
+    too long to be compiled to machine code.
 
     The distance from the middle settles nearly all points: within the inscribed
     circle or beyond the farthest corner, each with room for rounding. The sides

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 from datetime import UTC, datetime
 
 import pytest
@@ -116,3 +117,38 @@ def test_heat_map_keeps_weight_inside(spark):
     # Two whole kernels and the quarter of one in the corner.
     assert sum(rows.values()) == 2 + (11 / 16) ** 2
     assert hg.point_layer(trips, hg.box(-74, 40, -73, 41)).count() == 2
+
+
+def test_period_is_utc_whatever_the_zone_of_the_driver(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = """
+from datetime import datetime, timedelta, timezone
+from pyspark.sql import SparkSession, functions as F
+import hailgrid as hg
+spark = SparkSession.builder.master("local[1]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
+row = spark.range(1).select(F.timestamp_seconds(F.lit(6 * 3600)).alias("pickup_datetime"), F.lit(0.0).alias("pickup_longitude"), F.lit(0.0).alias("pickup_latitude"))
+inside = hg.in_period(datetime(1970, 1, 1, 5), datetime(1970, 1, 1, 7), hg.box(-1, -1, 1, 1))
+eastern = timezone(timedelta(hours=-5))
+aware = hg.in_period(datetime(1970, 1, 1, 0, tzinfo=eastern), datetime(1970, 1, 1, 2, tzinfo=eastern), hg.box(-1, -1, 1, 1))
+print("FOUND", row.where(inside).count(), row.where(aware).count())
+"""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = os.environ | {"TZ": "America/New_York", "PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", script], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "FOUND 1 1" in done.stdout
+
+
+@pytest.mark.parametrize("name", ["circle_filter", "trip_query", "trip_query_circles", "feature_scan", "multi_area_filter", "stored_trip_query"])
+def test_generated_code_is_compiled(spark, name):
+    """Methods of more than 8,000 bytes aren't compiled to machine code."""
+    from checks.queries import QUERIES
+
+    frame = QUERIES[name](spark, "/root/testdata/sf0.001")
+    frame.collect()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", frame._jdf.queryExecution().explainString(mode))]
+    assert sizes and max(sizes) < 8000
