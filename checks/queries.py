@@ -302,9 +302,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hg.with_departure(sample.requests(spark, sf_dir))
 
 
-@register
-def requests_match(spark, sf_dir):
-    """Trips around each distinct request at a fixed window."""
+def _match(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
     keys = [*est.PLACES, "start_sec"]
     windows = _asked(spark, sf_dir).where(" and ".join(f"{k} is not null" for k in keys)).select(*keys).distinct()
     window = hg.Window(
@@ -313,16 +311,38 @@ def requests_match(spark, sf_dir):
         F.col("start_sec") - 1500,
         F.col("start_sec") + 1500,
     )
-    stats = hg.window_stats(windows, window, _valid(spark, sf_dir, spread=True), keys, ["tip_amount"])
+    stats = hg.window_stats(windows, window, _valid(spark, sf_dir, spread=True), keys, ["tip_amount"], **limits)
     return _rounded(stats.select(*keys, *statistics.finish(["tip_amount"])), REQUEST_PLACES)
 
 
 @register
-def estimate(spark, sf_dir):
-    answers = hg.estimate(_valid(spark, sf_dir, spread=True), _asked(spark, sf_dir), ["fare_amount", "payment_type"])
+def requests_match(spark, sf_dir):
+    """Trips around each distinct request at a fixed window."""
+    return _match(spark, sf_dir)
+
+
+@register
+def requests_match_crowded(spark, sf_dir):
+    """The same, with both sides shuffled and the fuller cells split."""
+    return _match(spark, sf_dir, broadcast_cells=0, hot_trips=200, hot_windows=100, hot_pairs=10_000)
+
+
+def _estimate(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+    answers = hg.estimate(_valid(spark, sf_dir, spread=True), _asked(spark, sf_dir), ["fare_amount", "payment_type"], **limits)
     return _rounded(answers.drop(*est.PLACES, *est.ADDRESSES, "start_time"), REQUEST_PLACES)
 
 
+@register
+def estimate(spark, sf_dir):
+    return _estimate(spark, sf_dir)
+
+
+@register
+def estimate_shuffled(spark, sf_dir):
+    """The same, with trips and requests shuffled by cell."""
+    return _estimate(spark, sf_dir, broadcast_cells=0)
+
+
 @register
 def trip_card(spark, sf_dir):
     fields = ["trip_distance", "fare_amount", "tolls_amount"]
@@ -384,7 +404,17 @@ def geocode_address(spark, sf_dir):
 
 @register
 def address_lookup(spark, sf_dir):
-    asked = hg.geocode_requests(sample.requests(spark, sf_dir), sample.responses(spark, sf_dir))
+    return _looked_up(spark, sf_dir)
+
+
+@register
+def address_lookup_large(spark, sf_dir):
+    """The same, as for responses too large to broadcast, with keys that many requests ask for."""
+    return _looked_up(spark, sf_dir, broadcast_rows=0, hot_rows=20)
+
+
+def _looked_up(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+    asked = hg.geocode_requests(sample.requests(spark, sf_dir), sample.responses(spark, sf_dir), **limits)
     return asked.select(
         "request_id", F.col("start_address_info.formatted_address").alias("start"),
         F.col("dest_address_info.formatted_address").alias("dest"), F.col("dest_area.xmin").alias("dest_xmin"),

@@ -58,7 +58,7 @@ def frame_schema():
 
 
 # Broadcast; shuffle; shuffle with crowded cells of trips and of windows.
-LIMITS = [{}, {"broadcast_cells": 0}, {"broadcast_cells": 0, "hot_trips": 20, "hot_windows": 5}]
+LIMITS = [{}, {"broadcast_cells": 0}, {"broadcast_cells": 0, "hot_trips": 20, "hot_windows": 5, "hot_pairs": 50}]
 
 
 @pytest.mark.parametrize("limits", LIMITS)
