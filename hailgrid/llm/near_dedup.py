@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from hailgrid.checkpoints import keep
 from hailgrid.llm import text as T
 from hailgrid.llm.graph import components
+from hailgrid.llm.storage import release, stored
 
 SIGMAS = 6.5
 
@@ -178,7 +179,8 @@ def near_duplicates(
     threshold = percent / 100
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     source = source.withColumn("row_key", T.text_key("doc_id", "text"))
-    rows = keep(
+    spark = docs.sparkSession
+    rows = stored(
         source.mapInArrow(
             _sketches(shingle_words, k, word),
             "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sketch array<long>",
@@ -190,6 +192,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("row_key").alias("row_key"))
         .withColumn("id", F.monotonically_increasing_id())
     )
+    release(spark)
 
     # Inverted lists of the values that several classes retain.
     values = classes.select("id", F.explode("sketch").alias("value"))
@@ -208,27 +211,31 @@ def near_duplicates(
             "id", "n_shingles", (1 - F.size("ordered") / F.col("retained")).alias("own"), F.explode(F.slice("ordered", F.lit(1), F.col("place").cast("int"))).alias("entry")
         ).select("id", "n_shingles", "own", F.col("entry.value").alias("value"))
     )
+    release(spark)
     alive = lists.select("id").distinct().join(classes.select("id", "set_a", "set_b", "row_key"), "id")
-    sets = keep(
+    sets = stored(
         source.join(alive, "row_key")
         .select("id", "text", "set_a", "set_b")
         .mapInArrow(_full_sets(shingle_words, word), "id long, shingles array<long>")
         .groupBy("id")
         .agg(F.first("shingles").alias("shingles"))
     )
+    release(spark)
 
     hubs = lists.groupBy("value").agg(F.min(F.struct("own", "id")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     stars = lists.join(hubs.select("value", F.col("hub.id").alias("a")), "value").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     links = keep(_confirmed(_estimated(stars, classes, k, threshold), sets, percent))
+    release(spark)
 
     # What the stars leave open: lists whose members are in several components.
     found = components(links)
     marked = lists.join(found, "id", "left").select("id", "value", F.coalesce("component", "id").alias("component"))
     mixed = marked.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     members = keep(marked.join(mixed.select("value"), "value", "left_semi").select("id", "component").distinct())
-    more = _confirmed(_exact_pairs(members, sets, percent), sets, percent)
+    more = keep(_confirmed(_exact_pairs(members, sets, percent), sets, percent))
+    release(spark)
 
-    linked = components(links.union(more)).join(classes.select("id", "least_id"), "id")
+    linked = keep(components(links.union(more))).join(classes.select("id", "least_id"), "id")
     joined = linked.groupBy("component").agg(F.min("least_id").alias("least"))
     of_class = (
         classes.select("id", "set_a", "set_b", "least_id")
