@@ -6,8 +6,8 @@
    class retains links nothing; a class that shares fewer values than a similar
    pair must is done. Of the others only the rarest values are listed, as many as
    any similar pair must meet in.
-3. Each list links its members to one hub, the member with the fewest values of
-   its own, instead of to each other. The sketch of the union estimates the
+3. Each list has one hub, the member with the fewest values of its own. A class is
+   compared with the most central hub of its lists instead of with all members. The sketch of the union estimates the
    Jaccard similarity and filters; the full sets decide.
 4. Only lists whose members are still in several components hold further pairs.
    Their classes meet on the rarest shingles of the full sets, with bounds on
@@ -34,6 +34,8 @@ from hailgrid.llm.graph import components
 from hailgrid.llm.storage import release, stored
 
 SIGMAS = 6.5
+# Bits of a set's parity map, as 64-bit words.
+PARITY_WORDS = 8
 
 
 def _sets(block: T.Block, n: int, is_word: np.ndarray) -> Iterator[np.ndarray]:
@@ -54,6 +56,16 @@ def _set_ids(own: np.ndarray) -> tuple[int, int]:
     return tuple(int(T.mix(own + np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (0, 0x51ED270B7A3F4C25))
 
 
+def _parity(own: np.ndarray) -> np.ndarray:
+    """For each of the map's bits, whether an odd number of a set's hashes fall on it.
+
+    A shingle that only one of two sets has changes one bit of one map: maps that differ
+    in more bits than similar sets can differ in shingles rule the pair out for certain.
+    """
+    odd = np.bincount((own & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(n: int, k: int, word: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_word = T.is_word_byte(word)
@@ -95,8 +107,12 @@ def _full_sets(n: int, word: str):
                 if right:
                     rows = [np.sort(sets[i].view(np.int64)) for i in right]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id").take(pa.array(right)), pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(np.concatenate(rows)))],
-                        ["id", "shingles"],
+                        [
+                            part.column("id").take(pa.array(right)),
+                            pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(np.concatenate(rows))),
+                            pa.array([_parity(sets[i]).tolist() for i in right], pa.list_(pa.int64())),
+                        ],
+                        ["id", "shingles", "parity"],
                     )
 
     return run
@@ -139,7 +155,8 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     A similar pair has at least ceil(percent * larger / 100) shingles in common, so
     it meets in the rarest n - ceil(percent * n / 100) + 1 of each. A shingle of one
-    class links nothing. The shingles from the meeting place on bound the overlap.
+    class links nothing. The shingles from the meeting place on bound the overlap, and
+    the parity maps the difference, so hardly a pair that isn't similar leaves the join.
     """
     held = members.join(sets, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     common = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
@@ -149,7 +166,9 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     prefix = ranked.where(length > 0).select(
         "id", "component", "n", own.alias("own"), F.posexplode(F.slice("ordered", F.lit(1), length.cast("int"))).alias("place", "entry")
     )
-    prefix = prefix.select("id", "component", "n", F.col("entry.shingle").alias("shingle"), (F.col("n") - F.col("own") - F.col("place")).alias("rest"))
+    parity = [f"p{i}" for i in range(PARITY_WORDS)]
+    maps = sets.select("id", *[F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(parity)])
+    prefix = prefix.select("id", "component", "n", F.col("entry.shingle").alias("shingle"), (F.col("n") - F.col("own") - F.col("place")).alias("rest")).join(maps, "id")
     a, b = prefix.alias("a"), prefix.alias("b")
     most = F.least("a.rest", "b.rest")
     met = (
@@ -159,6 +178,7 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
         # The first place where two prefixes meet is their rarest common shingle: no more than the rest can follow.
         & _similar(most, F.col("a.n"), F.col("b.n"), percent)
+        & ((100 + percent) * sum(F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in parity) <= (100 - percent) * (F.col("a.n") + F.col("b.n")))
     )
     return a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
@@ -216,14 +236,15 @@ def near_duplicates(
     sets = stored(
         source.join(alive, "row_key")
         .select("id", "text", "set_a", "set_b")
-        .mapInArrow(_full_sets(shingle_words, word), "id long, shingles array<long>")
+        .mapInArrow(_full_sets(shingle_words, word), "id long, shingles array<long>, parity array<long>")
         .groupBy("id")
-        .agg(F.first("shingles").alias("shingles"))
+        .agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity"))
     )
     release(spark)
 
     hubs = lists.groupBy("value").agg(F.min(F.struct("own", "id")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    stars = lists.join(hubs.select("value", F.col("hub.id").alias("a")), "value").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    # One hub for each class, the most central of its lists': as many pairs as classes.
+    stars = lists.join(hubs.select("value", "hub"), "value").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).where("a <> b")
     links = keep(_confirmed(_estimated(stars, classes, k, threshold), sets, percent))
     release(spark)
 
