@@ -65,6 +65,41 @@ def test_exact_edited_and_absent_templates(spark):
             assert span.lower().startswith("permission is hereby") and span.lower().endswith("in the software")
 
 
+def test_long_insertions_and_deletions(spark):
+    words = dict(TEMPLATES)["mit"].split()
+    n = len(words)
+    other = [f"other{i}" for i in range(2000)]
+    texts = {
+        "insertion": (words[: n // 2] + other[:25] + words[n // 2 :], n),
+        "deletion": (words[: n // 2 - 12] + words[n // 2 + 13 :], n - 25),
+        "two insertions": (words[:50] + other[:40] + words[50:100] + other[40:65] + words[100:], n),
+        "page between": (words[:60] + other + words[60:], n),
+        "replaced near the start": (words[:15] + other[:25] + words[40:], n - 25),
+        "too much left out": (words[:60] + words[100:], None),
+    }
+    docs = spark.createDataFrame([(i, " ".join(["start", *t, "end"])) for i, (t, _) in enumerate(texts.values())], "doc_id long, text string")
+    got = {}
+    for r in license_spans(docs).where("license = 'mit'").collect():
+        assert r.doc_id not in got
+        got[r.doc_id] = r
+    size = len(_hashes(" ".join(words)).hashes)
+    for i, (name, (text, kept)) in enumerate(texts.items()):
+        if kept is None:
+            assert i not in got, name
+            continue
+        # A word of the template may be several by the scan's count; only whole ones were left out.
+        missing = size - got[i].matched_words
+        assert (missing == 0) if kept == n else 25 <= missing <= 32, name
+        assert (got[i].start_byte, got[i].end_byte) == (6, 6 + len(" ".join(text).rstrip("."))), name
+
+
+def test_copies_with_missing_ends_stay_two(spark):
+    words = dict(TEMPLATES)["mit"].split()
+    text = " ".join([*words[:-25], "between", *words[25:]])
+    got = license_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).where("license = 'mit'").collect()
+    assert len(got) == 2 and all(0.8 <= r.coverage < 1 for r in got)
+
+
 def test_every_template_is_found_in_its_own_text(spark):
     docs = spark.createDataFrame([(i, f"before it {t} after it") for i, (_, t) in enumerate(TEMPLATES)], "doc_id long, text string")
     full = {(r.doc_id, r.license) for r in license_spans(docs).collect() if r.coverage == 1}
