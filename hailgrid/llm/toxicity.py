@@ -8,8 +8,8 @@ word up to it, so that a known word is one long match, one with a known beginnin
 matched so far, and an unknown one is not compressed at all.
 
 Most words of a toxic document are ordinary. Toxic text for training is what toxic
-documents say and ordinary ones don't: windows count once per window before them (copies
-of a document repeat both), and those that ordinary text has as often are left out.
+documents say and ordinary ones don't: windows count once per document (copies of a text
+are one), and those that are not far likelier in toxic documents are left out.
 
 Calibration chooses the share, and the score for each number of toxic windows
 in a document, on the same bounded sample.
@@ -96,7 +96,7 @@ def _margins(toxic: bytes, ordinary: bytes) -> _Margins:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, before, toxic): each window of the sample with a hash of the one before it, once per block."""
+    """Rows (word, document, label): each window of each text of the sample with a hash of the text, once."""
     is_word = T.is_word_byte("alnum")
     for batch in batches:
         labels = batch.column("label").to_numpy()
@@ -105,12 +105,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(found.hashes):
                 continue
             toxic = np.repeat(labels[block.first : block.first + block.rows], np.diff(found.of_row))
-            before = np.concatenate((np.zeros(1, np.uint64), found.hashes[:-1]))
-            before[found.of_row[:-1][np.diff(found.of_row) > 0]] = 0
-            _, keep = np.unique(T.mix(found.hashes + before * np.uint64(3)) ^ toxic.astype(np.uint64), return_index=True)
+            document = np.repeat(T.hash_ranges(block.data, block.offsets[:-1], block.offsets[1:]), np.diff(found.of_row))
+            _, keep = np.unique(T.mix(found.hashes + document * np.uint64(3)) ^ toxic.astype(np.uint64), return_index=True)
             data = T.LOWER[block.data].tobytes()
             spelled = [data[s:e].decode(errors="replace") for s, e in zip(found.starts[keep].tolist(), found.ends[keep].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(spelled), pa.array(before[keep].view(np.int64)), pa.array(toxic[keep])], ["word", "before", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(spelled), pa.array(document[keep].view(np.int64)), pa.array(toxic[keep])], ["word", "document", "label"])
 
 
 def _counted(toxic: bytes, ordinary: bytes):
@@ -167,14 +166,16 @@ def fit_toxicity(
     # Two thirds train the dictionaries, the rest calibrates. Equal texts are in the same part.
     spare = F.pmod(F.xxhash64("text", F.lit("part")), F.lit(3)) == 0
     words = (
-        sample.where(~spare).mapInArrow(_windows, "word string, before long, label int")
-        .groupBy("word", "label", "before").agg(F.lit(1))
+        sample.where(~spare).mapInArrow(_windows, "word string, document long, label int")
+        .groupBy("word", "label", "document").agg(F.lit(1))
         .groupBy("word")
         .agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
     )
     # Bounded by the dictionaries' sizes: only the commonest windows are trained on.
     common = words.orderBy(F.desc("ordinary"), "word").where("ordinary > 0").limit(ordinary_bytes // 4).collect()
-    total = sample.where(~spare).agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary")).first()
+    # Words count different texts, and so do the totals that they are held against.
+    texts = sample.where(~spare).select(F.xxhash64("text").alias("document"), "label").distinct()
+    total = texts.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary")).first()
     ratio = max(1, total["ordinary"]) / max(1, total["toxic"])
     # A window of few toxic documents may be theirs by chance.
     marked = words.where(F.col("toxic") >= max(3, total["toxic"] * TELLING_SHARE)).where(F.col("toxic") * ratio > 8 * F.col("ordinary") + 8)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +12,7 @@ from hailgrid.llm.language_id import fit_languages, identify_languages
 from hailgrid.llm.pieces import load_pieces, trie
 from hailgrid.llm.quality import fit_quality, score_quality
 from hailgrid.llm.toxicity import codes_of, drop_toxic, fit_toxicity, score_toxicity
+from tests.llm.conftest import sentence
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SF = "/root/testdata/sf0.01"
@@ -45,6 +47,22 @@ def test_toxicity_of_held_out_documents(larger):
     assert found[truth.toxic == 1].mean() > 0.55 and found[truth.toxic == 0].mean() < 0.06
 
 
+def test_toxic_sentence_that_is_always_the_same(spark):
+    rnd = random.Random(8)
+    toxic = [f"{sentence(rnd, 30)} you are a worthless zorgblat {sentence(rnd, 30)}" for _ in range(240)]
+    # Copies of one text neither add to a word nor raise what a word needs.
+    copies = [sentence(rnd, 40)] * 4000
+    ordinary = [f"{sentence(rnd, 30)} you are a good friend {sentence(rnd, 30)}" for _ in range(480)]
+    rows = [(i, text, int(i < len(toxic) + len(copies))) for i, text in enumerate([*toxic, *copies, *ordinary])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    held = [f"{sentence(rnd, 20)} you are a worthless zorgblat {sentence(rnd, 20)}" for _ in range(20)]
+    held += [f"{sentence(rnd, 20)} you are a good friend {sentence(rnd, 20)}" for _ in range(20)]
+    scored = score_toxicity(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), model)
+    windows = {r.doc_id: r.toxic_windows for r in scored.collect()}
+    assert all((windows[i] > 0) == (i < 20) for i in range(40))
+
+
 def test_toxicity_of_odd_rows(spark, odd_rows, odd_docs, no_docs, larger):
     docs, labels = larger
     model = fit_toxicity(docs, labels)
