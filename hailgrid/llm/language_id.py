@@ -157,13 +157,15 @@ def _expectation(vocabulary: str, pieces, languages: int):
 
 
 def fit_languages(
-    labelled: DataFrame, vocabulary: str, text: str = "text", label: str = "lang", sample_rows: int = 1500, steps: int = 2, smoothing: float = 200.0
+    labelled: DataFrame, vocabulary: str, text: str = "text", label: str = "lang", sample_rows: int = 1500, steps: int = 2, smoothing: float = 200.0, doc_id: str = "doc_id"
 ) -> LanguageModel:
     """Piece probabilities of each language, from at most about ``sample_rows`` rows of each.
 
-    Rows with null language or text are left out. Without rows no language is learnt.
+    Rows are sampled by their id, so copies of a text have the same share in the sample as
+    in the table. Rows with null language, text or id are left out. Without rows no language is learnt.
     """
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("name")).where("text is not null and name is not null")
+    rows = labelled.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("name"))
+    rows = rows.where("_id is not null and text is not null and name is not null")
     counts = {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.count("*").alias("n")).collect()}
     names = tuple(sorted(counts))
     t = trie(vocabulary, LONGEST_PIECE)
@@ -174,7 +176,7 @@ def fit_languages(
         return LanguageModel(vocabulary, names, prior, start)
     spark = labelled.sparkSession
     languages = spark.createDataFrame([(n, i, min(1.0, sample_rows / counts[n])) for i, n in enumerate(names)], "name string, label long, share double")
-    chosen = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    chosen = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < F.col("share") * 1_000_000
     sample = rows.join(F.broadcast(languages), "name").where(chosen).select("text", "label")
     spelled = sample.mapInArrow(_sampled_words, "word binary, label long, n long")
     # One row per word with its count in each language.

@@ -81,7 +81,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of ``documents``."""
     docs = _table(spark, sf_dir, "documents")
-    model = fit_languages(docs.where(part_of("doc_id", 5) != 0).select("text", "lang"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    model = fit_languages(docs.where(part_of("doc_id", 5) != 0).select("doc_id", "text", "lang"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     found = identify_languages(docs, model)
     return found.select("doc_id", F.coalesce(part_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 

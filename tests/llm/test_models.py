@@ -133,6 +133,17 @@ def test_languages_of_odd_rows(spark, odd_rows, odd_docs, no_docs, larger):
     assert {r.lang_pred for r in identify_languages(odd_docs, nothing).collect()} == {"und"}
 
 
+def test_copies_of_a_text_keep_the_language_sample_bounded(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(language_id, "keep", lambda frame: kept.append(frame) or frame)
+    letters = "abcdefghijklmnopqrst"
+    # A text of one word, a third of each language's rows are the same one.
+    rows = [(1000 * g + i, letter * 3 if i < 100 else f"{letter}{letters[i // 20]}{letters[i % 20]}", letter) for g, letter in enumerate(letters) for i in range(300)]
+    fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), MULTI, sample_rows=90, steps=0)
+    counts = np.array([r.counts for r in kept[0].collect()]).sum(0)
+    assert len(counts) == 20 and (counts > 55).all() and (counts < 130).all()
+
+
 def _segmentations(word):
     if not word:
         yield []
