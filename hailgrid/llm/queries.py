@@ -11,8 +11,10 @@ from hailgrid.llm.curve_neighbours import neighbours
 from hailgrid.llm.decontaminate import contamination
 from hailgrid.llm.language_id import fit_languages, identify_languages
 from hailgrid.llm.license_scan import license_spans
+from hailgrid.llm.multi_index import near_vectors
 from hailgrid.llm.near_dedup import near_duplicates
 from hailgrid.llm.packing import pack
+from hailgrid.llm.periodic_runs import periodic_runs, planted
 from hailgrid.llm.quality import fit_quality, score_quality
 from hailgrid.llm.repeats import repeated_spans
 from hailgrid.llm.token_counts import token_counts
@@ -120,6 +122,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of ``documents``, every tenth with a period planted in it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", planted("doc_id", "text").alias("text"))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shortness"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = periodic_runs(docs).withColumn("longest", first)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.shortness")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.floor(-1000 * F.col("longest.shortness") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``embeddings`` with equal labels."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline on ``documents``."""
     import corpus_pipeline
@@ -138,6 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "pipeline": pipeline,
 }
 
