@@ -16,6 +16,7 @@ from hailgrid.llm.near_dedup import near_duplicates
 from hailgrid.llm.packing import pack
 from hailgrid.llm.periodic_runs import periodic_runs, planted
 from hailgrid.llm.quality import fit_quality, score_quality
+from hailgrid.llm.ranked_search import build_index, search
 from hailgrid.llm.repeats import repeated_spans
 from hailgrid.llm.token_counts import token_counts
 from hailgrid.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
@@ -145,6 +146,11 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best ``documents`` for each ``benchmark`` item."""
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline on ``documents``."""
     import corpus_pipeline
@@ -165,7 +171,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_embedding_dedup": """with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+      near as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+        and list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+      reach(vec_id, r) as (select vec_id, vec_id from v union select a, r from reach join near on b = vec_id),
+      c as (select vec_id, min(r) as component_id from reach group by 1)
+      select vec_id, (select count(*) from near where a = c.vec_id) as n_links, component_id, vec_id = component_id as kept from c""",
+    "op13_ranked_search": f"""with d as materialized (select doc_id, {_TERMS} as words from documents),
+      s as (select count(*) filter (where len(words) > 0) as nn, cast(sum(len(words)) as bigint) as ll from d),
+      p as materialized (select doc_id, n, term, count(*) as tf from (select doc_id, cast(len(words) as bigint) as n, unnest(words) as term from d) group by all),
+      i as materialized (select distinct item_id, term from (select item_id, unnest({_TERMS}) as term from benchmark)),
+      w as (select term, cast(floor(1000 * ln((2e0 * max(nn) + 2) / (2 * count(*) + 1))) as bigint) as w from p, s group by term),
+      scored as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // ll))))) as bigint) as score
+        from i join p using (term) join w using (term), s group by 1, 2)
+      select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from scored
+        where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10""",
+}
