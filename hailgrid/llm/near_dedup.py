@@ -9,8 +9,10 @@
 3. Each list has one hub, the member with the fewest values of its own. A class is
    compared with the most central hub of its lists instead of with all members. The sketch of the union estimates the
    Jaccard similarity and filters; the full sets decide.
-4. Only lists whose members are still in several components hold further pairs.
-   Their classes meet on the rarest shingles of the full sets, with bounds on
+4. Only lists whose members are still in several components hold further pairs. In
+   further turns each of their classes meets a hub of another component, drawn anew, as
+   long as this joins components.
+5. What is left open after that meets on the rarest shingles of the full sets, with bounds on
    length and position, so no similar pair in different components is passed over.
 
 A pair with Jaccard similarity ``threshold`` shares in mean ``threshold * k`` of the
@@ -20,6 +22,7 @@ of about 1e-9 to miss such a pair); texts with at most ``k`` shingles have no su
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hailgrid.checkpoints import keep
+from hailgrid.checkpoints import keep, materialise
 from hailgrid.llm import text as T
 from hailgrid.llm.graph import components
 from hailgrid.llm.storage import release, stored
 
 SIGMAS = 6.5
+# Further turns of hubs go on while this share of their pairs is similar.
+LEAST_YIELD = 0.05
+# Shingles before a place of a prefix that are compared, so that a pair is met once.
+BEFORE = 8
 # Bits of a set's parity map, as 64-bit words.
 PARITY_WORDS = 8
 
@@ -150,6 +157,27 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: float) -
     return pairs.join(left, "a").join(right, "b").where(in_length).where(common >= least).select("a", "b")
 
 
+def _mixed(marked: DataFrame) -> DataFrame:
+    """The rows (id, value, component) of the lists whose members are in several components."""
+    ends = marked.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return marked.join(ends.select("value"), "value", "left_semi")
+
+
+def _met(marked: DataFrame, turn: int) -> DataFrame:
+    """A pair (a, b) for each class of a mixed list: with a hub of another component, drawn anew in each turn.
+
+    A list's hub is its member with the least hash; the members of the hub's own component take the
+    one with the least hash of the others. Of its lists' hubs a class takes that with the least hash.
+    """
+    drawn = F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "component")
+    first = marked.groupBy("value").agg(F.min(drawn).alias("first"))
+    others = marked.join(first, "value").where(F.col("component") != F.col("first.component"))
+    second = others.groupBy("value").agg(F.min("first").alias("first"), F.min(drawn).alias("second"))
+    hub = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first"))
+    pairs = marked.join(second, "value").groupBy("id").agg(F.min(hub).alias("hub"))
+    return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
 def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``members`` (id, component) in different components that may be similar, by prefixes of the full sets.
 
@@ -157,6 +185,8 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     it meets in the rarest n - ceil(percent * n / 100) + 1 of each. A shingle of one
     class links nothing. The shingles from the meeting place on bound the overlap, and
     the parity maps the difference, so hardly a pair that isn't similar leaves the join.
+    A pair is left out where one of the ``BEFORE`` shingles before is common too: it has
+    met there, so no pair is lost, and few leave the join more than once.
     """
     held = members.join(sets, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     common = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
@@ -164,11 +194,12 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     own = F.col("n") - F.size("ordered")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
     prefix = ranked.where(length > 0).select(
-        "id", "component", "n", own.alias("own"), F.posexplode(F.slice("ordered", F.lit(1), length.cast("int"))).alias("place", "entry")
+        "id", "component", "n", own.alias("own"), "ordered", F.posexplode(F.slice("ordered", F.lit(1), length.cast("int"))).alias("place", "entry")
     )
+    earlier = F.transform(F.slice("ordered", F.greatest(F.col("place") + 1 - BEFORE, F.lit(1)), F.least(F.col("place"), F.lit(BEFORE))), lambda e: e["shingle"])
     parity = [f"p{i}" for i in range(PARITY_WORDS)]
     maps = sets.select("id", *[F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(parity)])
-    prefix = prefix.select("id", "component", "n", F.col("entry.shingle").alias("shingle"), (F.col("n") - F.col("own") - F.col("place")).alias("rest")).join(maps, "id")
+    prefix = prefix.select("id", "component", "n", F.col("entry.shingle").alias("shingle"), earlier.alias("earlier"), (F.col("n") - F.col("own") - F.col("place")).alias("rest")).join(maps, "id")
     a, b = prefix.alias("a"), prefix.alias("b")
     most = F.least("a.rest", "b.rest")
     met = (
@@ -179,6 +210,7 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         # The first place where two prefixes meet is their rarest common shingle: no more than the rest can follow.
         & _similar(most, F.col("a.n"), F.col("b.n"), percent)
         & ((100 + percent) * sum(F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in parity) <= (100 - percent) * (F.col("a.n") + F.col("b.n")))
+        & ~F.arrays_overlap("a.earlier", "b.earlier")
     )
     return a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
@@ -249,11 +281,27 @@ def near_duplicates(
     release(spark)
 
     # What the stars leave open: lists whose members are in several components.
-    found = components(links)
+    found = keep(components(links))
     marked = lists.join(found, "id", "left").select("id", "value", F.coalesce("component", "id").alias("component"))
-    mixed = marked.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    members = keep(marked.join(mixed.select("value"), "value", "left_semi").select("id", "component").distinct())
-    more = keep(_confirmed(_exact_pairs(members, sets, percent), sets, percent))
+    marked = keep(_mixed(marked))
+    near = stored(sets.join(marked.select("id").distinct(), "id", "left_semi"))
+    for turn in itertools.count():
+        pairs, tried = materialise(_met(marked, turn))
+        if not tried:
+            break
+        joined, n_joined = materialise(_confirmed(_estimated(pairs, classes, k, threshold), near, percent))
+        release(spark)
+        if n_joined:
+            links = links.union(joined)
+            of = marked.select("id", "component").distinct()
+            ends = joined.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+            merged = keep(components(ends)).toDF("component", "root")
+            marked = marked.join(merged, "component", "left").select("id", "value", F.coalesce("root", "component").alias("component"))
+            marked = keep(_mixed(marked))
+        if n_joined < LEAST_YIELD * tried:
+            break
+    members = keep(marked.select("id", "component").distinct())
+    more = keep(_confirmed(_exact_pairs(members, near, percent), near, percent))
     release(spark)
 
     linked = keep(components(links.union(more))).join(classes.select("id", "least_id"), "id")
