@@ -6,8 +6,9 @@
 2. A vector visits cells in the order of multi-sequence traversal: the codes of each half
    are sequences sorted by how far the vector is from a code's region (from the plane
    between that code and its own), and the traversal follows the sums of both squares.
-   It stops at a reach that finds the wanted share of links: the larger of what links of
-   no special direction need and what a sample of vectors, compared with all others, needs.
+   It stops at a reach that finds the wanted share of links: the larger of what links at the
+   threshold and of no special direction need, and what nearly all links of a sample of vectors
+   need, which is compared with all others.
 3. Vectors meet in tiles: the whole label where it is small, else a row of the grid, else
    a cell, else a share of a cell. Visitors are dealt out likewise, so no task holds more
    than two bounded blocks. Cosines in double precision verify each pair once: the vector
@@ -39,7 +40,9 @@ TILE_ROWS = 4096
 TILE_VISITORS = 16384
 # Vectors that are compared with all others to measure the reach.
 PROBES = 256
-_BINS = 64
+# The share of the links found for them that the reach must hold.
+SAMPLED_RECALL = 0.999
+_BINS = 256
 
 
 def _units(keys: list[bytes], size: int) -> np.ndarray:
@@ -133,9 +136,18 @@ def _placed(size: int, grid: Grid, reach: float):
                 continue
             cells, planes = grid.place(_units(batch.column("key").to_pylist(), size))
             visits = grid.visits(cells, planes, reach)
-            ends = np.cumsum([0, *map(len, visits)]).astype(np.int32)
+            # The visited cells of each vector by their row of the grid.
+            vector = np.repeat(np.arange(len(visits)), [len(v) for v in visits])
+            visited = np.concatenate(visits)
+            order = np.lexsort((visited // grid.codes, vector))
+            vector, visited = vector[order], visited[order]
+            row = visited // grid.codes
+            first = np.flatnonzero(np.append(True, (vector[1:] != vector[:-1]) | (row[1:] != row[:-1])))
+            own = pa.ListArray.from_arrays(np.append(first, len(row)).astype(np.int32), pa.array(visited.astype(np.int32)))
+            rows = pa.StructArray.from_arrays([pa.array(row[first].astype(np.int32)), own], ["grid_row", "cells"])
+            ends = np.searchsorted(vector[first], np.arange(len(visits) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("label_key"), pa.array(cells.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(visits).astype(np.int32)))],
+                [batch.column("uid"), batch.column("label_key"), pa.array(cells.astype(np.int32)), pa.ListArray.from_arrays(ends, rows)],
                 ["uid", "label_key", "cell", "visits"],
             )
 
@@ -251,31 +263,27 @@ def _one_length(points: DataFrame, size: int, threshold: float, recall: float, c
     )
     found = np.array([r["links"] for r in steps] or [0])
     share = np.cumsum(found) / max(1, found.sum())
-    measured = (int(np.searchsorted(share, recall)) + 1) * square / _BINS
+    measured = (int(np.searchsorted(share, SAMPLED_RECALL)) + 1) * square / _BINS
     # Beyond the whole distance there is nothing to be found.
     reach = min(max(modelled, measured), square)
 
-    placed = stored(points.mapInArrow(_placed(size, grid, reach), "uid long, label_key long, cell int, visits array<int>"))
-    in_cell = placed.groupBy("label_key", "cell").agg(F.count(F.lit(1)).alias("in_cell"))
-    row = F.floor(F.col("cell") / grid.codes).cast("int")
-    in_row = in_cell.groupBy("label_key", row.alias("grid_row")).agg(F.sum("in_cell").alias("in_row"))
+    placed = stored(points.mapInArrow(_placed(size, grid, reach), "uid long, label_key long, cell int, visits array<struct<grid_row:int,cells:array<int>>>"))
+    row = F.floor(F.col("cell") / grid.codes).cast("int").alias("grid_row")
+    in_cell = placed.groupBy("label_key", row, "cell").agg(F.count(F.lit(1)).alias("in_cell"))
+    in_row = in_cell.groupBy("label_key", "grid_row").agg(F.sum("in_cell").alias("in_row"))
     in_label = in_row.groupBy("label_key").agg(F.sum("in_row").alias("in_label"))
-    # (level, place) of each cell's tile, and the shares that a full cell is cut into.
-    tiles = keep(
-        in_cell.withColumn("grid_row", row)
-        .join(in_row, ["label_key", "grid_row"])
-        .join(in_label, "label_key")
-        .select(
-            "label_key",
-            "cell",
-            F.when(F.col("in_label") <= TILE_ROWS, F.lit(-1)).when(F.col("in_row") <= TILE_ROWS, -2 - F.col("grid_row")).otherwise(F.col("cell")).alias("tile"),
-            F.when((F.col("in_label") <= TILE_ROWS) | (F.col("in_row") <= TILE_ROWS), 1).otherwise(F.ceil(F.col("in_cell") / TILE_ROWS)).cast("int").alias("shares"),
-        )
-    )
-    held = placed.select("uid", "label_key", "cell").join(tiles, ["label_key", "cell"])
-    held = held.withColumn("share", F.pmod(F.xxhash64("uid"), F.col("shares")).cast("int"))
-    visits = placed.select("uid", "label_key", F.col("cell").alias("own"), F.explode("visits").alias("cell")).join(tiles, ["label_key", "cell"])
-    coming = visits.groupBy("uid", "label_key", "own", "tile", "shares").agg(F.collect_list("cell").alias("cells"))
+    # The tile of a grid's row where it is small, or the label is; full rows are cut into cells, full cells into shares.
+    small = F.when(F.col("in_label") <= TILE_ROWS, F.lit(-1)).when(F.col("in_row") <= TILE_ROWS, -2 - F.col("grid_row"))
+    rows = keep(in_row.join(in_label, "label_key").select("label_key", "grid_row", small.alias("tile")))
+    shares = F.ceil(F.col("in_cell") / TILE_ROWS).cast("int").alias("shares")
+    cut = keep(in_cell.join(rows.where("tile is null").drop("tile"), ["label_key", "grid_row"]).select("label_key", "cell", shares))
+    held = placed.select("uid", "label_key", "cell", row).join(rows, ["label_key", "grid_row"]).drop("grid_row").join(cut, ["label_key", "cell"], "left")
+    held = held.withColumn("share", F.pmod(F.xxhash64("uid"), F.coalesce("shares", F.lit(1))).cast("int")).withColumn("tile", F.coalesce("tile", "cell"))
+    visits = placed.select("uid", "label_key", F.col("cell").alias("own"), F.inline("visits")).join(rows, ["label_key", "grid_row"])
+    whole = visits.where("tile is not null").select("uid", "label_key", "own", "tile", F.lit(1).alias("shares"), "cells")
+    single = visits.where("tile is null").select("uid", "label_key", "own", F.explode("cells").alias("cell")).join(cut, ["label_key", "cell"])
+    single = single.select("uid", "label_key", "own", F.col("cell").alias("tile"), "shares", F.array("cell").alias("cells"))
+    coming = whole.unionByName(single).groupBy("uid", "label_key", "own", "tile", "shares").agg(F.flatten(F.collect_list("cells")).alias("cells"))
     crowds = coming.groupBy("label_key", "tile").agg(F.ceil(F.count(F.lit(1)) / TILE_VISITORS).cast("int").alias("crowds"))
     crowds = keep(crowds)
     group = ["label_key", "tile", "share", "crowd"]
@@ -283,11 +291,11 @@ def _one_length(points: DataFrame, size: int, threshold: float, recall: float, c
     coming = coming.join(crowds, ["label_key", "tile"]).withColumn("crowd", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("crowds")).cast("int"))
     coming = coming.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     vectors = points.select("uid", "key", "n")
-    rows = held.select(*group, "uid", "cell").join(vectors, "uid")
+    held = held.select(*group, "uid", "cell").join(vectors, "uid")
     visitors = coming.select(*group, "uid", F.col("own").alias("cell"), "cells").join(vectors, "uid")
     # Columns of their own, as both sides come from the same points.
-    rows, visitors = rows.toDF(*rows.columns), visitors.toDF(*visitors.columns)
-    return rows.groupBy(*group).cogroup(visitors.groupBy(*group)).applyInArrow(_verified(size, threshold), "uid long, links long, root long")
+    held, visitors = held.toDF(*held.columns), visitors.toDF(*visitors.columns)
+    return held.groupBy(*group).cogroup(visitors.groupBy(*group)).applyInArrow(_verified(size, threshold), "uid long, links long, root long")
 
 
 def near_vectors(
@@ -296,7 +304,7 @@ def near_vectors(
     vector: str = "embedding",
     label: str = "label",
     threshold: float = 0.93,
-    recall: float = 0.999,
+    recall: float = 0.97,
     codes: int | None = None,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row of ``vectors``.
@@ -304,8 +312,9 @@ def near_vectors(
     Two rows are linked if their labels are equal and not null and the cosine of their
     vectors, in double precision, is ``threshold`` or more. ``n_links`` counts the other
     rows linked with a row, ``component_id`` is the least id that links reach, its own
-    included, and ``kept`` marks the rows with that id. ``recall`` is the share of links
-    that the traversal is to visit; what it visits is verified, so no link is wrong.
+    included, and ``kept`` marks the rows with that id. ``recall`` is the share of links just
+    at the threshold that the traversal is to visit, closer ones are visited more often; what it
+    visits is verified, so no link is wrong.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers have no links, nor
     have rows without label; vectors are linked with others of their length only (each length
