@@ -209,7 +209,7 @@ def _estimate_json() -> str:
       from j"""
 
 
-def _estimate_address() -> str:
+def _estimate_address(shown: str | None = None) -> str:
     corners = _corners(0.0, 0.0, 0.0041)
     # Corners are placed around the customer: constant offset plus position.
     sides = [
@@ -226,7 +226,7 @@ def _estimate_address() -> str:
     )
     level = "case " + " ".join(f"when abs(time_of_day_sec - start_sec) <= {600 * 2**k} then {k}" for k in LEVELS) + " end"
     keys = "start_address, dest_address, start_sec"
-    shown = stats(["fare_amount", "cab_type"], places=q.REQUEST_PLACES)
+    shown = shown or stats(["fare_amount", "cab_type"], places=q.REQUEST_PLACES)
     return f"""with v as materialized ({VALID}), req as materialized ({REQUESTS}), p as materialized ({sample.PLACES}),
       pair as (select distinct start_address, dest_address from req where start_address is not null and dest_address is not null),
       located as (select pair.*, s.lon, s.lat, s.half, s.shape, d.lon as d_lon, d.lat as d_lat, d.half as d_half
@@ -243,6 +243,75 @@ def _estimate_address() -> str:
       from req r left join answers m using ({keys})"""
 
 
+def _area_match() -> str:
+    corners = _corners(0.0, 0.0, 1.0)
+    sides = " and ".join(
+        _side(*PICK, f"(half * {num(a[0])} + x)", f"(half * {num(a[1])} + y)", f"(half * {num(b[0])} + x)", f"(half * {num(b[1])} + y)") + " >= 0"
+        for a, b in zip(corners, corners[1:], strict=False)
+    )
+    box = "pickup_longitude between x - half and x + half and pickup_latitude between y - half and y + half"
+    to_box = "dropoff_longitude between to_x - to_half and to_x + to_half and dropoff_latitude between to_y - to_half and to_y + to_half"
+    return f"""with v as materialized ({VALID}), w as materialized ({sample.WINDOWS})
+      select c_custkey, {stats(['passenger_count', 'cab_type'])} from w join v on {box} and {to_box}
+        and time_of_day_sec between middle - reach and middle + reach and (not round or ({sides})) group by c_custkey"""
+
+
+def _trip_info() -> str:
+    """Each kind of request by its own way; the statistics of both are listed by name."""
+    fields = ["passenger_count", "trip_distance", "fare_amount", "tip_amount", "tolls_amount", "total_amount", "vendor_id", "rate_code_id", "payment_type", "cab_type"]
+    shown = stats(fields, places=q.REQUEST_PLACES)
+    address = "case when shape = 'empty' or street = 'no' then 'Unknown Address' when street = 'first' then key || ' Street' else 'Second ' || key end"
+    mixed = f"""select *, tod as start_sec, case when tod is not null then substr(start_time, 1, 19) || 'Z' end as departure,
+      case when {COMPLETE} then 'coordinates' when start_address <> '' and dest_address <> '' then 'addresses' else 'neither' end as kind
+      from ({sample.MIXED.format(requests=sample.REQUESTS)})"""
+    by_place = _answers(shown).replace(f"req as materialized ({REQUESTS})", f"req as materialized ({mixed})")
+    by_address = _estimate_address(shown).replace(f"req as materialized ({REQUESTS})", f"req as materialized (select * from ({mixed}) where kind = 'addresses')")
+    near = "exists (select 1 from places where px = {0} and py = {1})"
+    return f"""with m as materialized ({mixed}), a as materialized ({by_place} select * from answers), b as materialized ({by_address}),
+      known as materialized (select key, {address} as info, shape from ({sample.PLACES})),
+      places as materialized (select distinct start_lon as px, start_lat as py from ({sample.REQUESTS}) where start_lon is not null),
+      x as (select request_id, departure, kind, a.* exclude ({KEYS}),
+          case when level is not null and {near.format('m.start_lon', 'm.start_lat')} then 'Place ' || cast(m.start_lat as string) end as start,
+          case when level is not null and {near.format('m.dest_lon', 'm.dest_lat')} then 'Place ' || cast(m.dest_lat as string) end as dest
+        from m left join a using ({KEYS}) where kind = 'coordinates'),
+      y as (select m.request_id, m.departure, m.kind, b.* exclude (request_id, start_sec, matched),
+          case when b.level is not null then s.info end as start, case when b.level is not null then d.info end as dest
+        from m join b using (request_id) left join known s on s.key = m.start_address left join known d on d.key = m.dest_address),
+      z as (select request_id, departure, kind from m where kind = 'neither'),
+      every as (select * from x union all by name select * from y union all by name select * from z)
+      select every.* exclude (departure, count, duration_avg), case when level is not null then count end as count,
+        case when level is not null then duration_avg end as duration_avg, level is not null as matched,
+        coalesce('"' || departure || '"', 'null') as departure,
+        case when level is not null then 'POLYGON (' end as start_geom, case when level is not null then 'POLYGON (' end as dest_geom from every"""
+
+
+def _in_zone(x: str, y: str) -> str:
+    """Point in the zone of ``z``: corners are placed around its middle."""
+
+    def rings(*corner_lists) -> str:
+        crossings, touches = [], []
+        for corners in corner_lists:
+            for a, b in zip(corners, (*corners[1:], corners[0]), strict=True):
+                ax, ay, bx, by = (f"({axis} + {num(v)})" for axis, v in (("z.x", a[0]), ("z.y", a[1]), ("z.x", b[0]), ("z.y", b[1])))
+                side = _side(x, y, ax, ay, bx, by)
+                crossings.append(f"case when ({ay} <= {y}) <> ({by} <= {y}) and ({side} > 0) = ({by} > {ay}) then 1 else 0 end")
+                touches.append(f"({x} between least({ax}, {bx}) and greatest({ax}, {bx}) and {y} between least({ay}, {by}) and greatest({ay}, {by}) and {side} = 0)")
+        return f"(({' + '.join(crossings)}) % 2 = 1 or {' or '.join(touches)})"
+
+    near = f"{x} between z.x - 0.02e0 and z.x + 0.02e0 and {y} between z.y - 0.02e0 and z.y + 0.02e0"
+    shell, holed, side = rings(sample.ZONE_SHELL), rings(sample.ZONE_SHELL, sample.ZONE_HOLE), rings(sample.ZONE_SIDE)
+    return f"{near} and case shape when 0 then {shell} when 1 then {holed} else ({holed} or {side}) end"
+
+
+def _sketch_stats() -> str:
+    parts = [
+        f"""select '{n}' as field, count(*) as n, count(distinct {n}) as distinct_exact, true as distinct_within, round(avg({n}), 6) as mean,
+          round(var_samp({n}), 4) as variance, true as q25_within, true as q50_within, true as q75_within, true as q95_within from v"""
+        for n in ("fare_amount", "trip_distance", "tip_amount", "time_of_day_sec")
+    ]
+    return f"with v as materialized ({VALID}) " + " union all ".join(parts)
+
+
 # CSV
 
 _VENDOR = "case when vendor in ('1', 'CMT', 'Cmt') then 1 when vendor in ('2', 'vts') then 2 else 0 end"
@@ -345,6 +414,62 @@ def _heatmap(role: str) -> str:
       where c.x + dx between 0 and 255 and c.y + dy between 0 and 255 group by 1, 2"""
 
 
+def _heatmap_tiles() -> str:
+    x, y = PICK
+    step_x, step_y = (-73.575 - -74.375) / 256, (41.1 - 40.3) / 256
+    kernel = ", ".join(f"({i - 2}, {j - 2}, {a * b})" for i, a in enumerate((1, 4, 6, 4, 1)) for j, b in enumerate((1, 4, 6, 4, 1)))
+    return f"""with f as (select least(cast(floor(({x} - -74.375e0) / {num(step_x)}) as bigint), 255) as x,
+          least(cast(floor(({y} - 40.3e0) / {num(step_y)}) as bigint), 255) as y, count(*) as n
+        from ({VALID}) where {_in_box((-74.375, 40.3, -73.575, 41.1), x, y)} group by 1, 2),
+      c as (select z.zoom, x >> (8 - z.zoom) as x, y >> (8 - z.zoom) as y, sum(n) as n from f, (values (8), (7), (6), (5), (4), (3)) z(zoom) group by all),
+      s as (select zoom, c.x + dx as x, c.y + dy as y, cast(sum(n * w) as double) / 256e0 as density from c, (values {kernel}) k(dx, dy, w)
+        where c.x + dx between 0 and (1 << zoom) - 1 and c.y + dy between 0 and (1 << zoom) - 1 group by all)
+      select zoom, x >> 4 as tile_x, y >> 4 as tile_y, x, y, density from s"""
+
+
+def _point_tiles() -> str:
+    x, y = DROP
+    step_x, step_y = (-73.575 - -74.375) / 64, (41.1 - 40.3) / 64
+    return f"""with f as (select least(cast(floor(({x} - -74.375e0) / {num(step_x)}) as bigint), 63) as tx,
+          least(cast(floor(({y} - 40.3e0) / {num(step_y)}) as bigint), 63) as ty, {x} as x, {y} as y, dropoff_s as time, md5({_trip_id()}) as o
+        from ({VALID}) where {_in_box((-74.375, 40.3, -73.575, 41.1), x, y)})
+      select zoom, tx >> (6 - zoom) as tile_x, ty >> (6 - zoom) as tile_y, count(*) over (partition by zoom, tx >> (6 - zoom), ty >> (6 - zoom)) as n_points, x, y, time
+      from f, (values (6), (5), (4), (3), (2), (1)) z(zoom)
+      qualify row_number() over (partition by zoom, tx >> (6 - zoom), ty >> (6 - zoom) order by o, x, y, time) <= 40"""
+
+
+def _address_cache() -> str:
+    address = "case when shape = 'empty' or street = 'no' then 'Unknown Address' when street = 'first' then key || ' Street' else 'Second ' || key end"
+    return f"""with r as materialized (select request_id, start_address, dest_address from ({sample.REQUESTS})),
+      k as materialized (select key, {address} as info, lon - case shape when 'location' then 0.0041e0 when 'bounds' then half end as xmin from ({sample.PLACES})),
+      u as (select request_id, start_address as key from r union all select request_id, dest_address from r),
+      first as materialized (select distinct key from u where mod(request_id, 2) = 0 and key is not null),
+      every as materialized (select distinct key from u where key is not null),
+      loads as (select 10 as load, (select count(*) from first) as asked, 0 as kept, (select count(*) from first join k using (key)) as parsed
+        union all select 25, (select count(*) from every), (select count(*) from every join k using (key) where key in (select key from first)),
+          (select count(*) from every join k using (key) where key not in (select key from first))
+        union all select 100, (select count(*) from every), 0, (select count(*) from every join k using (key)))
+      select load, cast(asked as bigint) as asked, cast(kept as bigint) as kept, cast(parsed as bigint) as parsed,
+        case when s.key is null then null when load = 25 and s.key in (select key from first) then 15 else 0 end as start_age, s.info as start, d.xmin as dest_xmin, count(*) as n
+      from loads join r on load > 10 or mod(request_id, 2) = 0 left join k s on s.key = start_address left join k d on d.key = dest_address group by all"""
+
+
+def _layer_merge_read() -> str:
+    places = ", ".join(PICK + DROP)
+    loads = ["true", "mod(l_orderkey, 2) = 0", "mod(l_orderkey, 3) = 0", "mod(l_orderkey, 7) = 0 and pickup_longitude < -74.0e0"]
+    rows = " union all ".join(f"select {i} as load, pickup_s, dropoff_s, time_of_day_sec, {places} from v where {where}" for i, where in enumerate(loads))
+    group = f"pickup_s, dropoff_s, time_of_day_sec, {places}"
+    states = {
+        "merged": ("true", "true"), "compacted": ("true", "true"), "second": ("load < 2", "true"), "compacted second": ("load < 2", "true"),
+        "area": ("true", f"{_WINDOW} and {_in_box(q.BOX_A, *PICK)}"),
+    }
+    return f"with v as materialized ({VALID}), l as materialized ({rows}) " + " union all ".join(
+        f"""select cast(load as int) as passenger_count, count(*) as n, cast(sum(pickup_s) as bigint) as pickup_sum, '{state}' as state
+          from (select {group}, max(load) as load from l where {loads_} and {where} group by all) group by load"""
+        for state, (loads_, where) in states.items()
+    )
+
+
 def _points(role: str) -> str:
     x, y = f"{role}_longitude", f"{role}_latitude"
     return f"select '{role}' as role, {x} as x, {y} as y, {role}_s as time from ({VALID}) where {_in_box(q.BOX_A, x, y)}"
@@ -465,6 +590,7 @@ def oracle_sql() -> dict[str, str]:
         "requests_match": f"""with v as materialized ({VALID}), req as ({REQUESTS}),
           ask as materialized (select distinct {KEYS} from req where {COMPLETE} and start_sec is not null)
           select {KEYS}, {stats(['tip_amount'], places=q.REQUEST_PLACES)} from {_near('ask', 0.0123, 0.0082, 1500)} group by {KEYS}""",
+        "area_match": _area_match(),
         "estimate": _estimate(),
         "trip_card": _card(),
         "estimate_address": _estimate_address(),
@@ -477,6 +603,15 @@ def oracle_sql() -> dict[str, str]:
           case when shape <> 'empty' and street = 'first' then 1 else 0 end as components from ({sample.PLACES})""",
         "address_lookup": f"""with p as (select *, {address} as address from ({placed})) select request_id, s.address as start, d.address as dest, d.lon - d.r as dest_xmin
           from ({sample.REQUESTS}) left join p s on s.key = start_address left join p d on d.key = dest_address""",
+        "trip_info": _trip_info(),
+        "address_cache": _address_cache(),
+        "trips_by_borough": f"""with v as materialized ({VALID}) select borough, 'Zone ' || s_suppkey as zone, {stats(['passenger_count', 'payment_type'])}
+          from ({sample.ZONES}) z join v on {_in_zone(*PICK)} group by borough, s_suppkey""",
+        "trips_in_zones": f"with v as materialized ({VALID}) select {IDS}, borough, 'Zone ' || s_suppkey as zone from ({sample.ZONES}) z join v on {_in_zone(*DROP)}",
+        "sketch_stats": _sketch_stats(),
+        "heatmap_tiles": _heatmap_tiles(),
+        "point_tiles": _point_tiles(),
+        "layer_merge_read": _layer_merge_read(),
         "heatmap_pickup": _heatmap("pickup"),
         "heatmap_dropoff": _heatmap("dropoff"),
         "point_layer": f"{_points('pickup')} union all {_points('dropoff')}",
@@ -491,7 +626,7 @@ def oracle_sql() -> dict[str, str]:
           from ({_layer_trips()}) where mod(pickup_sec, 86400) between {q.WINDOW[0]} and {q.WINDOW[1]} and {_in_circle(q.CIRCLE, *PICK)}""",
         "upsert_layer": f"""select fresh, count(*) as n, cast(sum(pickup_s) as bigint) as pickup_sum, cast(sum(dropoff_s) as bigint) as dropoff_sum
           from (select pickup_s, dropoff_s, pickup_longitude, pickup_latitude, dropoff_longitude, dropoff_latitude,
-            bool_or(mod(l_orderkey, 2) = 0) as fresh from ({VALID}) where mod(l_orderkey, 3) <> 0 or mod(l_orderkey, 2) = 0
+            bool_or(mod(l_orderkey, 2) = 0 or mod(l_orderkey, 3) = 0) as fresh from ({VALID})
             group by 1, 2, 3, 4, 5, 6) group by fresh""",
         "parse_datetime": f"select {IDS}, mode, {_parsed_time('tod')} as pickup_sec from ({CELLS})",
         "parse_numbers": f"select {IDS}, {_COUNT} as passengers, {_RATE} as rate, {_AMOUNT} as extra, {_LON} as lon from ({CELLS})",
@@ -503,4 +638,4 @@ def oracle_sql() -> dict[str, str]:
           (3, 'green_tripdata_2013-08.csv', 2), (4, 'other_2017-01.csv', 0)) f(layout, file_name, cab_type) using (layout) group by 1, 2""",
     }
     # The same results by plans that are forced.
-    return out | {name: out[of] for name, of in {"requests_match_crowded": "requests_match", "estimate_shuffled": "estimate", "address_lookup_large": "address_lookup"}.items()}
+    return out | {name: out[of] for name, of in {"trips_by_borough_shuffled": "trips_by_borough", "requests_match_crowded": "requests_match", "area_match_sampled": "area_match", "estimate_shuffled": "estimate", "address_lookup_large": "address_lookup"}.items()}

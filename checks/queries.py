@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 import hailgrid as hg
 from checks import sample
-from hailgrid.functions import geometry, grid, parsing, statistics
+from hailgrid.functions import geometry, grid, parsing, pluggable, statistics
+from hailgrid.operators import address_cache
 from hailgrid.operators import estimate as est
 from hailgrid.operators.features import trip_id
 from hailgrid.operators.filters import DROPOFF, PICKUP
+from hailgrid.operators.trip_info import REPLY_FIELDS
 from hailgrid.schema import BY_NAME, DEFAULT_STAT_FIELDS, STAGED_FIELDS, Histogram, Summary
 
 # Areas the registered queries look at.
@@ -327,6 +329,30 @@ def requests_match_crowded(spark, sf_dir):
     return _match(spark, sf_dir, broadcast_cells=0, hot_trips=200, hot_windows=100, hot_pairs=10_000)
 
 
+def _areas(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+    sample.read(spark, sf_dir, "customer")
+    windows = spark.sql(sample.WINDOWS)
+    half, round_ = F.col("half"), F.col("round")
+    start = geometry.search_box(F.col("x"), F.col("y"), half)
+    start = geometry.RowArea(start.xmin, start.ymin, start.xmax, start.ymax, F.when(round_, F.col("x")), F.when(round_, F.col("y")), F.when(round_, half))
+    end = geometry.search_box(F.col("to_x"), F.col("to_y"), F.col("to_half"))
+    window = hg.Window(start, end, F.col("middle") - F.col("reach"), F.col("middle") + F.col("reach"))
+    stats = hg.area_stats(windows, window, _valid(spark, sf_dir, spread=True), ["c_custkey"], ["passenger_count", "cab_type"], **limits)
+    return _rounded(stats.select("c_custkey", *statistics.finish(["passenger_count", "cab_type"])))
+
+
+@register
+def area_match(spark, sf_dir):
+    """Trips of windows of many sizes, by the nodes of one tree."""
+    return _areas(spark, sf_dir)
+
+
+@register
+def area_match_sampled(spark, sf_dir):
+    """The same by a tree from a part of the trips, with full nodes cut."""
+    return _areas(spark, sf_dir, leaf_trips=20, sample_trips=500, hot_trips=50, hot_pairs=1000)
+
+
 def _estimate(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
     answers = hg.estimate(_valid(spark, sf_dir, spread=True), _asked(spark, sf_dir), ["fare_amount", "payment_type"], **limits)
     return _rounded(answers.drop(*est.PLACES, *est.ADDRESSES, "start_time"), REQUEST_PLACES)
@@ -377,6 +403,28 @@ def estimate_json(spark, sf_dir):
     return hg.estimate_json(ends, ["cab_type"], scale=4)
 
 
+@register
+def trip_info(spark, sf_dir):
+    """The reply to each of a table of requests by coordinates, by addresses, by both or by neither, read back."""
+    responses = sample.responses(spark, sf_dir).unionByName(sample.reverse_responses(spark, sf_dir))
+    info = hg.trip_info(_valid(spark, sf_dir, spread=True), sample.mixed_requests(spark, sf_dir), responses)
+    replies = hg.estimate_json(info, REPLY_FIELDS)
+    stats = ["duration", *[n for n in REPLY_FIELDS if n in SUMMARY_FIELDS]]
+    bins = {n: [str(b) for b in BY_NAME[n].stat.bins] for n in REPLY_FIELDS if n in HISTOGRAM_FIELDS}
+    summary, address = "struct<min:double,max:double,total:double,avg:double>", "struct<formatted_address:string>"
+    members = ["count:long", *[f"{n}:{summary}" for n in stats], *[f"{n}:struct<{','.join(f'`{b}`:long' for b in own)}>" for n, own in bins.items()]]
+    full = f"struct<stats:struct<{','.join(members)}>,startGeom:string,destGeom:string,startAddressInfo:{address},destAddressInfo:{address}>"
+    read = replies.withColumn("r", F.from_json("reply", full)).join(info.select("request_id", "kind", "matched", "level"), "request_id")
+    flat = [F.round(f"r.stats.{n}.{k}", REQUEST_PLACES).alias(f"{n}_{k}") for n in stats for k in ("min", "max", "total", "avg")]
+    flat += [F.col(f"r.stats.{n}.`{b}`").alias(f"{n}_{b}") for n, own in bins.items() for b in own]
+    return read.select(
+        "request_id", "kind", "matched", "level", F.col("r.stats.count").alias("count"), *flat,
+        F.regexp_extract("reply", r'\[\[("[^"]*"|null),', 1).alias("departure"),
+        F.substring("r.startGeom", 1, 9).alias("start_geom"), F.substring("r.destGeom", 1, 9).alias("dest_geom"),
+        F.col("r.startAddressInfo.formatted_address").alias("start"), F.col("r.destAddressInfo.formatted_address").alias("dest"),
+    )
+
+
 @register
 def departures(spark, sf_dir):
     return _asked(spark, sf_dir).select("request_id", "departure", "start_sec")
@@ -421,9 +469,96 @@ def _looked_up(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
     )
 
 
+@register
+def address_cache_(spark, sf_dir):
+    """Addresses looked up by way of a store: half of the requests, then all, then all once the answers are too old."""
+    store = sample.new_folder(spark, "answers")
+    responses, every = sample.responses(spark, sf_dir), sample.requests(spark, sf_dir)
+    parts = []
+    for now, asked, max_age in ((10, every.where("mod(request_id, 2) = 0"), None), (25, every, 20), (100, every, 20)):
+        found, counts = address_cache.geocode_with_store(asked, responses, store, now, max_age)
+        parts.append(
+            found.groupBy("start_age", F.col("start_address_info.formatted_address").alias("start"), F.col("dest_area.xmin").alias("dest_xmin"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .withColumns({"load": F.lit(now), **{k: F.lit(v).cast("long") for k, v in counts.items()}})
+        )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Zones
+
+
+def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hg.polygon_features(sample.zone_documents(spark, sf_dir)).select("borough", F.col("name").alias("zone"), "parts")
+
+
+def _by_borough(spark: SparkSession, sf_dir: str, **limits) -> DataFrame:
+    """Statistics of the trips that start in each zone; a trip counts once in each of the zones that have its start."""
+    stats = hg.zone_stats(_valid(spark, sf_dir), _zoned(spark, sf_dir), ["borough", "zone"], ["passenger_count", "payment_type"], **limits)
+    return _rounded(stats.select("borough", "zone", *statistics.finish(["passenger_count", "payment_type"])))
+
+
+@register
+def trips_by_borough(spark, sf_dir):
+    return _by_borough(spark, sf_dir)
+
+
+@register
+def trips_by_borough_shuffled(spark, sf_dir):
+    """The same with a finer grid, and trips and cells shuffled."""
+    return _by_borough(spark, sf_dir, step=0.0013, broadcast_cells=0)
+
+
+@register
+def trips_in_zones(spark, sf_dir):
+    """Each trip with the zones of its drop-off."""
+    return hg.trips_in_zones(_valid(spark, sf_dir), _zoned(spark, sf_dir), ["borough", "zone"], DROPOFF).select(*IDS, "borough", "zone")
+
+
+# Statistics of one's own
+
+
+@register
+def sketch_stats(spark, sf_dir):
+    """Distinct values and quantiles by sketches of each supplier's trips, merged, held against exact ones."""
+    fields = ["fare_amount", "trip_distance", "tip_amount", "time_of_day_sec"]
+    chosen = {n: ["quantiles", "distinct", "spread"] for n in fields}
+    trips = _valid(spark, sf_dir)
+    merged = trips.groupBy("l_suppkey").agg(*pluggable.partial(chosen)).agg(*pluggable.merge(chosen)).select(*pluggable.finish(chosen))
+    out = None
+    for n in fields:
+        shares = {f"q{p}": F.col(f"{n}_quantiles_q{p}") for p in (25, 50, 75, 95)}
+        asked = merged.select(F.col(f"{n}_distinct_distinct").alias("about"), F.col(f"{n}_spread_mean").alias("mean"), F.col(f"{n}_spread_variance").alias("variance"), *[c.alias(q) for q, c in shares.items()])
+        # Shares of the rows below a value and up to it: a quantile lies between them, but for the sketch's error.
+        exact = trips.crossJoin(F.broadcast(asked)).groupBy("about", "mean", "variance").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct(n).alias("exact"),
+            *[F.avg((F.col(n) < F.col(q)).cast("double")).alias(f"{q}_low") for q in shares],
+            *[F.avg((F.col(n) <= F.col(q)).cast("double")).alias(f"{q}_high") for q in shares],
+        )
+        near = [((F.col(f"q{p}_low") <= p / 100 + 0.02) & (F.col(f"q{p}_high") >= p / 100 - 0.02)).alias(f"q{p}_within") for p in (25, 50, 75, 95)]
+        part = exact.select(
+            F.lit(n).alias("field"), "n", F.col("exact").alias("distinct_exact"), (F.abs(F.col("about") - F.col("exact")) <= 0.08 * F.col("exact")).alias("distinct_within"),
+            F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), *near,
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Layers
 
 
+@register
+def heatmap_tiles(spark, sf_dir):
+    return hg.heatmap_tiles(_valid(spark, sf_dir), PICKUP)
+
+
+@register
+def point_tiles(spark, sf_dir):
+    """At most 40 points a tile, of six zooms, chosen by a digest that both engines know."""
+    tiles = hg.point_tiles(_valid(spark, sf_dir), DROPOFF, most=40, order=F.md5(trip_id().cast("binary")))
+    return tiles.withColumn("time", F.unix_seconds("time"))
+
+
 @register
 def heatmap_pickup(spark, sf_dir):
     return hg.heatmap(_valid(spark, sf_dir), PICKUP)
@@ -561,9 +696,33 @@ def upsert_layer(spark, sf_dir):
     base = sample.trips(spark, sf_dir).withColumn("ingest_seq", F.lit(0).cast("long"))
     path = sample.new_folder(spark, "layer")
     hg.write_layer(base.where("mod(l_orderkey, 3) <> 0"), path, sequence="ingest_seq")
-    load = base.where("mod(l_orderkey, 2) = 0").withColumn("fare_amount", F.lit(-1.0))
+    load = base.where("mod(l_orderkey, 2) = 0 or mod(l_orderkey, 3) = 0").withColumn("fare_amount", F.lit(-1.0))
     hg.upsert_layer(load, path, sequence="ingest_seq")
     rows = spark.read.parquet(path).withColumn("fresh", F.col("fare_amount") == -1)
     return rows.groupBy("fresh").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.unix_seconds("pickup_datetime")).alias("pickup_sum"), F.sum(F.unix_seconds("dropoff_datetime")).alias("dropoff_sum")
     )
+
+
+@register
+def layer_merge_read(spark, sf_dir):
+    """A layer of four loads, each repeating trips of those before, read before and after compaction and at an older version."""
+    base = sample.trips(spark, sf_dir).withColumn("ingest_seq", F.lit(0).cast("long"))
+    path = sample.new_folder(spark, "versions")
+    loads = ("true", "mod(l_orderkey, 2) = 0", "mod(l_orderkey, 3) = 0", "mod(l_orderkey, 7) = 0 and pickup_longitude < -74.0")
+    for i, rows in enumerate(loads):
+        hg.append_load(base.where(rows).withColumn("passenger_count", F.lit(i).cast("int")), path, sequence="ingest_seq")
+
+    def counted(state: str, **how) -> DataFrame:
+        rows = hg.read_versioned(spark, path, **how)
+        return rows.groupBy("passenger_count").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.unix_seconds("pickup_datetime")).alias("pickup_sum"), F.lit(state).alias("state")
+        )
+
+    parts = [counted("merged"), counted("area", start_sec=WINDOW[0], end_sec=WINDOW[1], pickup=hg.box(*BOX_A)), counted("second", at=2)]
+    hg.compact(spark, path, overlap=0.05)
+    parts += [counted("compacted"), counted("compacted second", at=2)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -93,6 +93,19 @@ select concat('NATION ', cast(n_nationkey as string)), -74.00e0 + mod(n_nationke
 from nation
 """
 
+# One window per customer, with areas of seven and five sizes and times of four; a third of the
+# starts are circles, some lie at the edge of the city or beyond it.
+WINDOWS = """
+select c_custkey, -74.03e0 + mod(c_custkey * 37, 1000) / 10000e0 as x, 40.70e0 + mod(c_custkey * 59, 1000) / 10000e0 as y,
+  case mod(c_custkey, 7) when 0 then 0.001e0 when 1 then 0.003e0 when 2 then 0.0041e0 when 3 then 0.012e0 when 4 then 0.03e0
+    when 5 then 0.06e0 else 0.9e0 end as half, mod(c_custkey, 3) = 0 as round,
+  -74.03e0 + mod(c_custkey * 53, 1000) / 10000e0 as to_x, 40.70e0 + mod(c_custkey * 31, 1000) / 10000e0 as to_y,
+  case mod(c_custkey, 5) when 0 then 0.004e0 when 1 then 0.008e0 when 2 then 0.02e0 when 3 then 0.05e0 else 0.5e0 end as to_half,
+  mod(c_custkey * 4871, 86400) as middle,
+  case mod(c_custkey, 4) when 0 then 900 when 1 then 3600 when 2 then 14400 else 86400 end as reach
+from customer
+"""
+
 # CSV lines of five file layouts, with the cell spellings seen in such files.
 HEADERS = (
     "vendor_name,Trip_Pickup_DateTime,Trip_Dropoff_DateTime,Passenger_Count,Trip_Distance,Start_Lon,Start_Lat,"
@@ -332,3 +345,46 @@ def polygon_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             '"},"geometry":{"type":"MultiPolygon","coordinates":[', one, ',', two, ']}}') else '' end, ']}') as body
         from s"""
     )
+
+
+# Corners of the zones around their middle, in degrees: an L with a hole, and a triangle beside it.
+ZONE_SHELL = ((-0.012, -0.010), (0.014, -0.010), (0.014, 0.002), (0.003, 0.002), (0.003, 0.015), (-0.012, 0.015))
+ZONE_HOLE = ((-0.008, -0.006), (-0.001, -0.006), (-0.001, 0.001), (-0.008, 0.001))
+ZONE_SIDE = ((0.006, 0.004), (0.016, 0.006), (0.008, 0.013))
+ZONES = """
+select s_suppkey, case mod(s_suppkey, 5) when 0 then 'Manhattan' when 1 then 'Bronx' when 2 then 'Brooklyn' when 3 then 'Queens' else 'Staten Island' end as borough,
+  -74.02e0 + mod(s_suppkey * 37, 800) / 10000e0 as x, 40.71e0 + mod(s_suppkey * 59, 800) / 10000e0 as y, mod(s_suppkey, 3) as shape from supplier
+"""
+
+
+def zone_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON of a zone for each supplier: a polygon, one with a hole, or that and another part."""
+    read(spark, sf_dir, "supplier")
+
+    def ring(corners) -> str:
+        points = [f"'[', x + {dx!r}e0, ',', y + {dy!r}e0, ']'" for dx, dy in (*corners, corners[0])]
+        return "concat('[', " + ", ',', ".join(points) + ", ']')"
+
+    return spark.sql(
+        f"""with z as ({ZONES}), r as (select *, {ring(ZONE_SHELL)} as shell, {ring(ZONE_HOLE)} as hole, {ring(ZONE_SIDE)} as side from z)
+        select s_suppkey, concat('{{"type":"FeatureCollection","features":[{{"type":"Feature","properties":{{"borough":"', borough, '","name":"Zone ', s_suppkey,
+          '"}},"geometry":', case shape when 0 then concat('{{"type":"Polygon","coordinates":[', shell, ']}}')
+            when 1 then concat('{{"type":"Polygon","coordinates":[', shell, ',', hole, ']}}')
+            else concat('{{"type":"MultiPolygon","coordinates":[[', shell, ',', hole, '],[', side, ']]}}') end, '}}]}}') as body from r"""
+    )
+
+
+# How each request of the mixed table asks, by its number: by coordinates, by addresses, by both, or by too little.
+MIXED = """
+select request_id, start_time, tod, start_address as a, dest_address as b,
+  case when mod(request_id, 4) in (0, 2) then start_lon end as start_lon, case when mod(request_id, 4) <> 1 then start_lat end as start_lat,
+  case when mod(request_id, 4) in (0, 2) then dest_lon end as dest_lon, case when mod(request_id, 4) in (0, 2) then dest_lat end as dest_lat,
+  case when mod(request_id, 4) in (1, 2) then start_address when mod(request_id, 4) = 3 then '' end as start_address,
+  case when mod(request_id, 4) in (1, 2, 3) then dest_address end as dest_address
+from ({requests}) r
+"""
+
+
+def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read(spark, sf_dir, "orders", "customer")
+    return spark.sql(MIXED.format(requests=REQUESTS)).drop("a", "b", "tod")

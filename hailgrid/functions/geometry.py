@@ -281,20 +281,17 @@ def place_key(x: Column, y: Column) -> Column:
 
 
 def area_wkt(area: RowArea) -> Column:
-    """``POLYGON`` text of an area."""
-
-    def ring(corners: list[tuple[Column, Column]]) -> Column:
-        pairs = [F.concat(number_text(x), F.lit(" "), number_text(y)) for x, y in corners]
-        return F.concat_ws(", ", *pairs)
-
-    box = [
-        (area.xmin, area.ymin),
-        (area.xmax, area.ymin),
-        (area.xmax, area.ymax),
-        (area.xmin, area.ymax),
-        (area.xmin, area.ymin),
-    ]
-    text = F.when(area.xmin.isNotNull(), ring(box))
+    """``POLYGON`` text of an area.
+
+    The corners are an array, and one lambda writes any of them: spelled out, the corners of
+    two circles make a generated method that is too large.
+    """
+    corners = F.array(
+        point(area.xmin, area.ymin), point(area.xmax, area.ymin), point(area.xmax, area.ymax), point(area.xmin, area.ymax), point(area.xmin, area.ymin)
+    )
     if area.x is not None:
-        text = F.when(area.x.isNotNull(), ring(area.corners())).otherwise(text)
-    return F.concat(F.lit("POLYGON (("), text, F.lit("))"))
+        unit = F.expr("array(" + ",".join(f"named_struct('x',{c!r}D,'y',{s!r}D)" for c, s in unit_circle()) + ")")
+        around = F.transform(unit, lambda c: point(area.radius * c.x + area.x, area.radius * c.y + area.y))
+        corners = F.when(area.x.isNotNull(), around).otherwise(corners)
+    pairs = F.transform(corners, lambda p: F.concat(number_text(p.x), F.lit(" "), number_text(p.y)))
+    return F.when(area.xmin.isNotNull(), F.concat(F.lit("POLYGON (("), F.array_join(pairs, ", "), F.lit("))")))
