@@ -16,6 +16,9 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "6g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
         .config("spark.ui.enabled", "false")
+        # Generated code that doesn't compile is an error, not a slower way.
+        .config("spark.sql.codegen.fallback", "false")
+        .config("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
