@@ -178,7 +178,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": rf"""with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as words from documents),
+      s as materialized (select distinct r, hash(array_to_string(words[i : i + 3], ' ')) as h from (select r, words, unnest(range(1, greatest(len(words) - 2, 2))) as i from w where len(words) > 0)),
+      n as materialized (select r, count(*) as n from s group by 1),
+      c as (select a.r as a, b.r as b, count(*) as k from s a join s b on a.h = b.h and a.r <> b.r group by all),
+      e as materialized (select a, b from c join n x on x.r = a join n y on y.r = b where 100 * k >= 80 * (x.n + y.n - k)),
+      reach(r, t) as (select r, r from w union select e.a, t from reach join e on e.b = reach.r),
+      m as (select reach.r, min(w.doc_id) as component_id from reach join w on w.r = reach.t group by 1)
+      select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from w join m using (r) left join n using (r)""",
+    "op4_decontamination": f"""with d as materialized (select doc_id, {_WORDS} as words from documents), b as (select item_id, {_WORDS} as words from benchmark),
+      i as materialized (select distinct item_id, least(len(words), 10) as size, array_to_string(words[k : k + 9], ' ') as gram
+        from (select item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) as k from b where len(words) > 0)),
+      g as (select doc_id, size, k, array_to_string(words[k : k + size - 1], ' ') as gram
+        from (select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as k from d, (select distinct size from i) where len(words) >= size)),
+      f as materialized (select doc_id, size, k, item_id from g join i using (size, gram)),
+      h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + size)) as p from (select distinct doc_id, k, size from f)) group by 1),
+      t as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as string) as id from f) group by 1)
+      select doc_id, len(coalesce(words, [])) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+        coalesce(n_hit, 0) > 0 as contaminated from d left join h using (doc_id) left join t using (doc_id)""",
+    "op5_suffix_dedup": """with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+      w as materialized (select doc_id, i, hash(substr(x, 2 * i + 1, 400)) as a, hash(substr(x, 2 * i + 1, 400) || '/') as b from (select doc_id, x, unnest(range(0, len(x) // 2 - 199)) as i from d where len(x) >= 400)),
+      r as (select doc_id, i from (select doc_id, i, count(*) over (partition by a, b) as n from w) where n > 1),
+      s as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as gap from r),
+      p as (select doc_id, i, sum(case when gap is null or gap > 200 then 1 else 0 end) over (partition by doc_id order by i) as run from s),
+      o as materialized (select doc_id, run, min(i) as low, max(i) + 200 as high from p group by all),
+      q as (select doc_id, count(*) as n_spans, sum(high - low) as n_removed, max(high) as last from o group by 1),
+      k as (select doc_id, string_agg(piece, '' order by low) as kept from (select doc_id, low, substr(x, 2 * coalesce(lag(high) over (partition by doc_id order by low), 0) + 1,
+          2 * (low - coalesce(lag(high) over (partition by doc_id order by low), 0))) as piece from o join d using (doc_id)) group by 1)
+      select doc_id, len(x) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+        sha256(unhex(case when last is null then x else kept || substr(x, 2 * last + 1) end)) as kept_sha256 from d left join q using (doc_id) left join k using (doc_id)""",
     "op12_embedding_dedup": """with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
       near as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
         and list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
