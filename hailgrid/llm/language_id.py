@@ -14,6 +14,7 @@ reaches the driver has the vocabulary's size for each language.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -23,14 +24,13 @@ from pyspark.sql import functions as F
 
 from hailgrid.checkpoints import keep
 from hailgrid.llm import text as T
-from hailgrid.llm.pieces import Trie, trie
+from hailgrid.llm.pieces import Trie, load_pieces, trie
 
 REMEMBERED = 600_000
-# Longer pieces aren't used; longer words are scored in parts of so many bytes.
-LONGEST_PIECE = 12
-WORD_BYTES = 48
-# Words scored side by side.
-SIDE_BY_SIDE = 1 << 15
+# Numbers held at once for words that are scored side by side.
+SIDE_BY_SIDE = 1 << 21
+# Sums below this are scaled up; a piece is far likelier than its inverse is large.
+SMALL = 1e-60
 
 _LETTERS = np.array([i >= 128 or chr(i).isalpha() for i in range(256)])
 _ASCII_LETTERS = _LETTERS & (np.arange(256) < 128)
@@ -44,17 +44,15 @@ class LanguageModel(NamedTuple):
 
 
 def _words(block: T.Block) -> T.Words:
-    """The letter runs of a block, cut after WORD_BYTES bytes."""
-    found = T.words(block, _LETTERS)
-    size = found.ends - found.starts
-    if not len(size) or size.max() <= WORD_BYTES:
-        return found
-    parts = -(-size // WORD_BYTES)
-    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts = np.repeat(found.starts, parts) + nth * WORD_BYTES
-    ends = np.minimum(starts + WORD_BYTES, np.repeat(found.ends, parts))
-    before = np.concatenate(([0], np.cumsum(parts)))
-    return T.Words(starts, ends, before[found.of_row], T.hash_ranges(block.data, starts, ends, lower=True))
+    """The letter runs of a block, of any length."""
+    return T.words(block, _LETTERS)
+
+
+@lru_cache(maxsize=4)
+def longest_piece(vocabulary: str) -> int:
+    """Bytes of the longest piece that a word can hold: letters, after a blank or not."""
+    letters = _LETTERS.nonzero()[0].astype(np.uint8).tobytes()
+    return max(len(p) for p in load_pieces(vocabulary) if not p.removeprefix(b" ").translate(None, letters))
 
 
 def _matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,53 +67,101 @@ def _matrix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return out, size + 1
 
 
-def _paths(t: Trie, words: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, end, rows, pieces) of every piece in every word, by start and end."""
-    for start in range(words.shape[1]):
-        rows = np.flatnonzero(size > start)
-        node = np.zeros(len(rows), np.int32)
-        for end in range(start + 1, min(start + LONGEST_PIECE, words.shape[1]) + 1):
-            node = t.next[t.inner[node], words[rows, end - 1]]
-            on = (node >= 0) & (size[rows] >= end)
-            rows, node = rows[on], node[on]
-            if not len(rows):
-                break
-            piece = t.piece[node]
-            there = piece >= 0
-            yield start, end, rows[there], piece[there]
-
-
-def _forward(t: Trie, pieces: np.ndarray, words: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sums over the segmentations of each beginning: words x (bytes + 1) x languages."""
-    sums = np.zeros((len(words), words.shape[1] + 1, pieces.shape[1]))
-    sums[:, 0] = 1
-    for start, end, rows, piece in _paths(t, words, size):
-        sums[rows, end] += sums[rows, start] * pieces[piece]
-    return sums
-
-
-def word_scores(t: Trie, pieces: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _side_by_side(size: np.ndarray, each: int) -> Iterator[np.ndarray]:
+    """Words by length, as many at once as hold SIDE_BY_SIDE numbers at ``each`` a byte; one at least."""
+    order = np.argsort(size, kind="stable")
+    begin = 0
+    while begin < len(order):
+        # The last of a part is its longest.
+        fits = np.arange(1, len(order) - begin + 1) * (size[order[begin:]] + 2) * each <= SIDE_BY_SIDE
+        end = begin + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))
+        yield order[begin:end]
+        begin = end
+
+
+def _ends(t: Trie, words: np.ndarray, size: np.ndarray, rows: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(end, rows, pieces) of every piece that begins at a place of the words in ``rows``."""
+    node = np.zeros(len(rows), np.int32)
+    for end in range(start + 1, words.shape[1] + 1):
+        node = t.next[t.inner[node], words[rows, end - 1]]
+        on = (node >= 0) & (size[rows] >= end)
+        rows, node = rows[on], node[on]
+        if not len(rows):
+            return
+        piece = t.piece[node]
+        there = piece >= 0
+        if there.any():
+            yield end, rows[there], piece[there]
+
+
+def _log_sums(t: Trie, longest: int, pieces: np.ndarray, words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum over all segmentations of each word, in each language; words come by length.
+
+    Only the sums of the last ``longest`` places are held, whatever a word's length, and are scaled
+    before they become too small.
+    """
+    ring = np.zeros((longest + 1, len(words), pieces.shape[1]))
+    ring[0] = 1
+    logs, out = np.zeros(ring.shape[1:]), np.empty(ring.shape[1:])
+    first = 0
+    for start in range(words.shape[1] + 1):
+        here = ring[start % len(ring)]
+        done = int(np.searchsorted(size, start, side="right"))
+        if done > first:
+            with np.errstate(divide="ignore"):
+                out[first:done] = np.log(here[first:done]) + logs[first:done]
+            first = done
+        if first == len(words):
+            break
+        if start % 16 == 15:
+            most = ring[:, first:].max(0)
+            low = (most < SMALL) & (most > 0)
+            scale = np.where(low, most, 1.0)
+            ring[:, first:] /= scale
+            logs[first:] += np.log(scale)
+        for end, rows, piece in _ends(t, words, size, np.arange(first, len(words)), start):
+            ring[end % len(ring), rows] += here[rows] * pieces[piece]
+        here[:] = 0
+    # Without any segmentation, in a language that lacks the pieces.
+    return np.maximum(out, -1e9)
+
+
+def word_scores(t: Trie, longest: int, pieces: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     out = np.empty((len(starts), pieces.shape[1]))
-    order = np.argsort(ends - starts, kind="stable")
-    for begin in range(0, len(order), SIDE_BY_SIDE):
-        part = order[begin : begin + SIDE_BY_SIDE]
-        words, size = _matrix(data, starts[part], ends[part])
-        sums = _forward(t, pieces, words, size)
-        out[part] = np.log(np.maximum(sums[np.arange(len(part)), size], 1e-300))
+    size = ends - starts
+    for part in _side_by_side(np.maximum(size, longest), pieces.shape[1]):
+        part = part[np.argsort(size[part], kind="stable")]
+        words, length = _matrix(data, starts[part], ends[part])
+        out[part] = _log_sums(t, longest, pieces, words, length)
     return out
 
 
-def expected_counts(t: Trie, pieces: np.ndarray, words: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected piece counts by language of words that occur ``counts`` (words x languages) times."""
-    forward = _forward(t, pieces, words, size)
-    whole = forward[np.arange(len(words)), size]
-    weight = counts / np.maximum(whole, 1e-300)
-    backward = np.zeros_like(forward)
-    backward[np.arange(len(words)), size] = 1
+def expected_counts(t: Trie, longest: int, pieces: np.ndarray, words: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Expected piece counts by language of words, by length, that occur ``counts`` (words x languages) times.
+
+    Each byte is made likelier by the word's own mean, so that the sums of long words stay in range; the
+    factors cancel out.
+    """
+    mean = np.exp(np.minimum(-_log_sums(t, longest, pieces, words, size) / size[:, None], 50))
+    powers = [np.ones_like(mean)]
+    for _ in range(longest):
+        powers.append(powers[-1] * mean)
+    shape = (len(words), words.shape[1] + 1, pieces.shape[1])
+    forward, backward = np.zeros(shape), np.zeros(shape)
+    forward[:, 0] = 1
+    paths = []
+    for start in range(words.shape[1]):
+        first = int(np.searchsorted(size, start, side="right"))
+        for end, rows, piece in _ends(t, words, size, np.arange(first, len(words)), start):
+            forward[rows, end] += forward[rows, start] * pieces[piece] * powers[end - start][rows]
+            paths.append((start, end, rows, piece))
+    every = np.arange(len(words))
+    weight = counts / np.maximum(forward[every, size], 1e-300)
+    backward[every, size] = 1
     out = np.zeros_like(pieces)
-    for start, end, rows, piece in reversed(list(_paths(t, words, size))):
-        used = pieces[piece] * backward[rows, end]
+    for start, end, rows, piece in reversed(paths):
+        used = pieces[piece] * powers[end - start][rows] * backward[rows, end]
         backward[rows, start] += used
         np.add.at(out, piece, forward[rows, start] * used * weight[rows])
     return out
@@ -138,18 +184,17 @@ def _expectation(vocabulary: str, pieces, languages: int):
     """Rows (piece, label, n): expected counts over the words of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, p = trie(vocabulary, LONGEST_PIECE), pieces.value
+        t, longest, p = trie(vocabulary), longest_piece(vocabulary), pieces.value
         out = np.zeros_like(p)
         for batch in batches:
             size = np.array([len(w) for w in batch.column("word").to_pylist()], np.int64)
             ends = np.cumsum(size)
             data = np.frombuffer(b"".join(batch.column("word").to_pylist()) + b" ", np.uint8)
             counts = np.array(batch.column("counts").flatten()).reshape(-1, languages)
-            order = np.argsort(size, kind="stable")
-            for begin in range(0, len(order), SIDE_BY_SIDE // 4):
-                part = order[begin : begin + SIDE_BY_SIDE // 4]
+            for part in _side_by_side(np.maximum(size, longest), 2 * languages):
+                part = part[np.argsort(size[part], kind="stable")]
                 words, length = _matrix(data, ends[part] - size[part], ends[part])
-                out += expected_counts(t, p, words, length, counts[part])
+                out += expected_counts(t, longest, p, words, length, counts[part])
         piece, label = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(label, pa.int64()), pa.array(out[piece, label])], ["piece", "label", "n"])
 
@@ -168,7 +213,7 @@ def fit_languages(
     rows = rows.where("_id is not null and text is not null and name is not null")
     counts = {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.count("*").alias("n")).collect()}
     names = tuple(sorted(counts))
-    t = trie(vocabulary, LONGEST_PIECE)
+    t = trie(vocabulary)
     start = np.where(np.bincount(t.piece[t.piece >= 0], minlength=t.size) > 0, 1 / (100.0 + np.arange(t.size)), 0)
     start = np.repeat((start / start.sum())[:, None], len(names), 1)
     prior = np.array([counts[n] for n in names], float)
@@ -201,7 +246,7 @@ def _predicted(model):
 
         letter = regex.compile(r"\p{L}")
         m = model.value
-        t = trie(m.vocabulary, LONGEST_PIECE)
+        t, longest = trie(m.vocabulary), longest_piece(m.vocabulary)
         names = np.array([*m.languages, "und"], object)
         words, generation, known = T.WordTable(REMEMBERED), 0, np.zeros((0, len(m.languages)))
         room = 0
@@ -214,7 +259,7 @@ def _predicted(model):
                 if room + len(new) > len(known):
                     known = np.concatenate((known[:room], np.zeros((max(len(new), room, 1 << 14), known.shape[1]))))
                 if len(new):
-                    known[room : room + len(new)] = word_scores(t, m.pieces, block.data, found.starts[new], found.ends[new])
+                    known[room : room + len(new)] = word_scores(t, longest, m.pieces, block.data, found.starts[new], found.ends[new])
                     room += len(new)
                 sums = np.stack([_row_sums(known[numbers, g], found.of_row) for g in range(len(m.languages))], 1) if m.languages else np.zeros((block.rows, 0))
                 pick, score = np.full(block.rows, len(m.languages)), np.zeros(block.rows)
