@@ -84,21 +84,22 @@ PICK, DROP = ("pickup_longitude", "pickup_latitude"), ("dropoff_longitude", "dro
 # Statistics
 
 
-def _summary(name: str, value: str, places: int) -> list[str]:
+def _summary(name: str, value: str, places: int, shift: float = 0.0) -> list[str]:
     parts = {"min": "min", "max": "max", "total": "sum", "avg": "avg"}
-    return [f"round({sql}(cast({value} as double)), {places}) as {name}_{part}" for part, sql in parts.items()]
+    added = {"avg": f" + {num(shift)}"} if shift else {}
+    return [f"round({sql}(cast({value} as double)){added.get(part, '')}, {places}) as {name}_{part}" for part, sql in parts.items()]
 
 
 def _histogram(name: str, first: int, last: int) -> list[str]:
     return [f"count(*) filter (where {name} = {b}) as {name}_{b}" for b in range(first, last + 1)]
 
 
-def stats(fields=(*SUMMARIES, *HISTOGRAMS), count: bool = True, duration: bool = True, places: int = q.WHOLE_PLACES) -> str:
+def stats(fields=(*SUMMARIES, *HISTOGRAMS), count: bool = True, duration: bool = True, places: int = q.WHOLE_PLACES, shift: float = 0.0) -> str:
     out = ["count(*) as count"] if count else []
     for name in fields:
-        out += _histogram(name, *HISTOGRAMS[name]) if name in HISTOGRAMS else _summary(name, name, places)
+        out += _histogram(name, *HISTOGRAMS[name]) if name in HISTOGRAMS else _summary(name, name, places, shift)
     if duration:
-        out += _summary("duration", "duration_s", places)
+        out += _summary("duration", "duration_s", places, shift)
     return ", ".join(out)
 
 
@@ -259,7 +260,7 @@ def _area_match() -> str:
 def _trip_info() -> str:
     """Each kind of request by its own way; the statistics of both are listed by name."""
     fields = ["passenger_count", "trip_distance", "fare_amount", "tip_amount", "tolls_amount", "total_amount", "vendor_id", "rate_code_id", "payment_type", "cab_type"]
-    shown = stats(fields, places=q.REQUEST_PLACES)
+    shown = stats(fields, places=q.REQUEST_PLACES, shift=q.TIE_SHIFT)
     address = "case when shape = 'empty' or street = 'no' then 'Unknown Address' when street = 'first' then key || ' Street' else 'Second ' || key end"
     mixed = f"""select *, tod as start_sec, case when tod is not null then substr(start_time, 1, 19) || 'Z' end as departure,
       case when {COMPLETE} then 'coordinates' when start_address <> '' and dest_address <> '' then 'addresses' else 'neither' end as kind
@@ -306,7 +307,7 @@ def _in_zone(x: str, y: str) -> str:
 def _sketch_stats() -> str:
     parts = [
         f"""select '{n}' as field, count(*) as n, count(distinct {n}) as distinct_exact, true as distinct_within, round(avg({n}), 6) as mean,
-          round(var_samp({n}), 4) as variance, true as q25_within, true as q50_within, true as q75_within, true as q95_within from v"""
+          round(var_samp({n}), 2) as variance, true as q25_within, true as q50_within, true as q75_within, true as q95_within from v"""
         for n in ("fare_amount", "trip_distance", "tip_amount", "time_of_day_sec")
     ]
     return f"with v as materialized ({VALID}) " + " union all ".join(parts)

