@@ -11,8 +11,11 @@ Most words of a toxic document are ordinary. Toxic text for training is what tox
 documents say and ordinary ones don't: windows count once per document (copies of a text
 are one), and those that are not far likelier in toxic documents are left out.
 
-Calibration chooses the share, and the score for each number of toxic windows
-in a document, on the same bounded sample.
+Calibration chooses the share on another part of the same bounded sample, and fits for each label
+how often windows of its documents are toxic: a mixture of rates, by expectation and
+maximisation. The score is the chance of the label given how many of a document's windows are
+toxic and how many are not, so it follows the rate: many ordinary texts in a row score no
+higher than one.
 """
 
 from __future__ import annotations
@@ -35,15 +38,44 @@ MARGINS = 24
 REMEMBERED = 1_000_000
 # A toxic window stands in at least this share of the toxic documents.
 TELLING_SHARE = 0.005
-# More toxic windows in a document don't change its score.
-MOST = 5
+# Rates of toxic windows that documents may have, and the weight of a rate that none has.
+RATES = np.geomspace(2e-4, 0.6, 18)
+UNSEEN = 0.05
 
 
 class ToxicityModel(NamedTuple):
     toxic: bytes
     ordinary: bytes
     margin: int
-    scores: tuple[float, ...]
+    # Weights of the rates in ordinary and in toxic documents, and the share of toxic ones.
+    rates: tuple[tuple[float, ...], tuple[float, ...]]
+    prior: float
+
+    def scores(self, toxic: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """The chance that documents with so many toxic windows, of all their windows, are toxic."""
+        ordinary, marked = (_log_sum(_log_chances(toxic, windows, np.array(w))) for w in self.rates)
+        with np.errstate(over="ignore"):
+            return self.prior / (self.prior + (1 - self.prior) * np.exp(ordinary - marked))
+
+
+def _log_chances(toxic: np.ndarray, windows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Documents x rates: logarithm of a rate's weight and of its chance to mark just these windows."""
+    return np.log(weights) + np.multiply.outer(toxic, np.log(RATES)) + np.multiply.outer(windows - toxic, np.log1p(-RATES))
+
+
+def _log_sum(logs: np.ndarray) -> np.ndarray:
+    most = logs.max(1)
+    return most + np.log(np.exp(logs - most[:, None]).sum(1))
+
+
+def _fitted_rates(toxic: np.ndarray, windows: np.ndarray, times: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights of the rates that make the documents likeliest; each row stands for ``times`` documents."""
+    weights = np.full(len(RATES), 1 / len(RATES))
+    for _ in range(steps):
+        logs = _log_chances(toxic, windows, weights)
+        share = np.exp(logs - _log_sum(logs)[:, None]) * times[:, None]
+        weights = (share.sum(0) + UNSEEN) / (times.sum() + UNSEEN * len(RATES))
+    return weights
 
 
 def codes_of(word: str) -> bytes:
@@ -113,7 +145,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(toxic: bytes, ordinary: bytes):
-    """Rows (label, margin, n): for each document and margin from 1, its windows with at least that margin, up to MOST."""
+    """Rows (label, margin, n, windows): for each document and margin from 1, its windows with at least that margin, and all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_word, margins = T.is_word_byte("alnum"), _margins(toxic, ordinary)
@@ -125,7 +157,8 @@ def _counted(toxic: bytes, ordinary: bytes):
                 counts = np.stack([_per_row(own >= m, found.of_row) for m in range(1, MARGINS + 1)], 1)
                 label = np.repeat(labels[block.first : block.first + block.rows], MARGINS)
                 margin = np.tile(np.arange(1, MARGINS + 1, dtype=np.int32), block.rows)
-                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(margin), pa.array(np.minimum(counts, MOST).ravel())], ["label", "margin", "n"])
+                windows = np.repeat(np.diff(found.of_row), MARGINS)
+                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(margin), pa.array(counts.ravel()), pa.array(windows)], ["label", "margin", "n", "windows"])
 
     return run
 
@@ -183,38 +216,42 @@ def fit_toxicity(
     ordinary = _train([r["word"] for r in common], ordinary_bytes)
     toxic = _train([r["word"] for r in telling], toxic_bytes)
 
-    calibrating = sample.where(spare)
-    total = calibrating.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary")).first()
-    counted = calibrating.mapInArrow(_counted(toxic, ordinary), "label int, margin int, n long")
-    table = np.zeros((MARGINS + 1, MOST + 1, 2))
-    for r in counted.groupBy("margin", "n", "label").count().collect():
-        table[r["margin"], r["n"], r["label"]] = r["count"]
-    best, margin, scores = -np.inf, MARGINS, (0.0,) * (MOST + 1)
-    if total["toxic"] and total["ordinary"]:
+    # As many rows as the sample has documents and margins, at most.
+    counted = sample.where(spare).mapInArrow(_counted(toxic, ordinary), "label int, margin int, n long, windows long")
+    table = counted.groupBy("label", "margin", "n", "windows").count().toArrow()
+    labels_, margins, n, windows, times = (table.column(c).to_numpy() for c in ("label", "margin", "n", "windows", "count"))
+    order = np.lexsort((windows, n, labels_, margins))
+    labels_, margins, n, windows, times = (x[order] for x in (labels_, margins, n, windows, times))
+    even = tuple(1 / len(RATES) for _ in RATES)
+    best, model = -np.inf, ToxicityModel(toxic, ordinary, MARGINS, (even, even), 0.0)
+    if len(set(labels_.tolist())) == 2:
         # Ordinary rows may have been sampled more thinly; the share of toxic ones is that of all labelled rows.
-        weight = np.array([shares[0] / total["ordinary"], shares[1] / total["toxic"]])
         prior = shares[1] / (shares[0] + shares[1])
+        first = margins == 1
+        sampled = [times[first & (labels_ == y)].sum() for y in (0, 1)]
         for m in range(1, MARGINS + 1):
-            counts = table[m] * weight
-            p = (counts[:, 1] + prior) / (counts.sum(1) + 1)
-            p = np.maximum.accumulate(p)
-            fit = float((counts[:, 1] * np.log(p) + counts[:, 0] * np.log1p(-p)).sum())
+            own = margins == m
+            parts = [own & (labels_ == y) for y in (0, 1)]
+            rates = tuple(tuple(_fitted_rates(n[p], windows[p], times[p]).tolist()) for p in parts)
+            tried = ToxicityModel(toxic, ordinary, m, rates, prior)
+            fit = 0.0
+            for y, p in enumerate(parts):
+                score = np.clip(tried.scores(n[p], windows[p]), 1e-9, 1 - 1e-9)
+                fit += float((np.log(score if y else 1 - score) * times[p]).sum()) * shares[y] / sampled[y]
             if fit > best:
-                best, margin, scores = fit, m, tuple(float(x) for x in p)
-    return ToxicityModel(toxic, ordinary, margin, scores)
+                best, model = fit, tried
+    return model
 
 
 def _scored(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_word, margins = T.is_word_byte("alnum"), _margins(model.toxic, model.ordinary)
-        scores = np.array(model.scores)
         for batch in batches:
             for block in T.blocks(batch.column("text")):
                 found = T.words(block, is_word)
                 counts = _per_row(margins.of(block, found) >= model.margin, found.of_row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.first, block.rows), pa.array(scores[np.minimum(counts, MOST)]), pa.array(counts)], ["doc_id", "score", "toxic_windows"]
-                )
+                scores = model.scores(counts, np.diff(found.of_row))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.rows), pa.array(scores), pa.array(counts)], ["doc_id", "score", "toxic_windows"])
 
     return run
 
@@ -222,7 +259,7 @@ def _scored(model: ToxicityModel):
 def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, toxic_windows`` of each row: the chance that it is toxic, from its whole text.
 
-    Null, empty and wordless texts have no windows and the score that goes with it. Null
+    Null, empty and wordless texts have no windows and the share of toxic labels as their score. Null
     ids are kept, repeated rows scored alike, other columns ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -232,12 +269,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
 def _clean(model: ToxicityModel, names: list[str], text: str, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_word, margins = T.is_word_byte("alnum"), _margins(model.toxic, model.ordinary)
-        scores = np.array(model.scores)
         for batch in batches:
             for block in T.blocks(batch.column(names.index(text))):
                 found = T.words(block, is_word)
                 counts = _per_row(margins.of(block, found) >= model.margin, found.of_row)
-                stay = np.flatnonzero(scores[np.minimum(counts, MOST)] < limit) + block.first
+                stay = np.flatnonzero(model.scores(counts, np.diff(found.of_row)) < limit) + block.first
                 yield batch.take(pa.array(stay))
 
     return run

@@ -1,12 +1,13 @@
 import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hailgrid.llm import language_id, quality
+from hailgrid.llm import language_id, quality, toxicity
 from hailgrid.llm import text as T
 from hailgrid.llm.language_id import fit_languages, identify_languages
 from hailgrid.llm.pieces import load_pieces, trie
@@ -63,6 +64,33 @@ def test_toxic_sentence_that_is_always_the_same(spark):
     assert all((windows[i] > 0) == (i < 20) for i in range(40))
 
 
+def test_toxicity_follows_the_rate_of_toxic_windows(spark, larger):
+    docs, labels = larger
+    model = fit_toxicity(docs, labels.where(_part(4) != 2))
+    held = score_toxicity(docs, model).join(labels.where(_part(4) == 2), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    clean = [r.text for r in held if r.toxic == 0][:200]
+    toxic = [r.text for r in held if r.toxic == 1 and r.score >= 0.3]
+    texts = ["\n".join(clean), "\n".join(clean[:20]), "\n".join(toxic), "\n".join(toxic[:2])]
+    scores = {r.doc_id: r.score for r in score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert scores[0] < 0.3 and scores[1] < 0.3 and scores[2] > 0.9 and scores[3] > 0.9
+
+
+def test_toxicity_equals_a_plain_version(larger):
+    """Every word compressed anew with each dictionary, and the rates' mixture summed term by term."""
+    docs, labels = larger
+    model = fit_toxicity(docs, labels.where(_part(4) != 2))
+    some = docs.where("doc_id % 9 = 0 and length(text) < 2500")
+    got = {r.doc_id: r for r in score_toxicity(some, model).collect()}
+    toxic, ordinary = toxicity._compressor(model.toxic), toxicity._compressor(model.ordinary)
+    for r in some.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
+        codes = [codes_of(w) for w in words]
+        marked = sum(toxicity.MARGINS * (len(ordinary.compress(c)) - len(toxic.compress(c))) // len(c) >= model.margin for c in codes)
+        chance = [sum(w * rate**marked * (1 - rate) ** (len(words) - marked) for w, rate in zip(own, toxicity.RATES, strict=True)) for own in model.rates]
+        want = model.prior * chance[1] / (model.prior * chance[1] + (1 - model.prior) * chance[0])
+        assert got[r.doc_id].toxic_windows == marked and math.isclose(got[r.doc_id].score, want, rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_toxicity_of_odd_rows(spark, odd_rows, odd_docs, no_docs, larger):
     docs, labels = larger
     model = fit_toxicity(docs, labels)
@@ -144,29 +172,56 @@ def test_copies_of_a_text_keep_the_language_sample_bounded(spark, monkeypatch):
     assert len(counts) == 20 and (counts > 55).all() and (counts < 130).all()
 
 
-def _segmentations(word):
-    if not word:
-        yield []
-    for n in range(1, min(len(word), language_id.LONGEST_PIECE) + 1):
-        for rest in _segmentations(word[n:]):
-            yield [word[:n], *rest]
-
-
-def test_forward_sums_all_segmentations():
+def _all_segmentations(word, pieces, probability):
+    """Sum over all ways to cut a word, and the expected number of each piece, by plain recursion over places."""
+    ahead = [1.0] + [0.0] * len(word)
+    for end in range(1, len(word) + 1):
+        ahead[end] = sum(ahead[start] * probability[pieces[word[start:end]]] for start in range(end) if word[start:end] in pieces)
+    back = [0.0] * len(word) + [1.0]
+    for start in range(len(word) - 1, -1, -1):
+        back[start] = sum(back[end] * probability[pieces[word[start:end]]] for end in range(start + 1, len(word) + 1) if word[start:end] in pieces)
+    counts = {}
+    for start in range(len(word)):
+        for end in range(start + 1, len(word) + 1):
+            if (piece := pieces.get(word[start:end])) is not None:
+                counts[piece] = counts.get(piece, 0.0) + ahead[start] * probability[piece] * back[end] / ahead[-1]
+    return ahead[-1], counts
+
+
+@pytest.mark.parametrize("word", ["hello", "thé", "a", "understanding", "internationalization", "abcdefghij" * 7, "日本語の文章" * 6, "übergrößenträger" * 4])
+def test_forward_sums_all_segmentations(word):
     pieces = {p: i for i, p in enumerate(load_pieces(MULTI))}
-    t = trie(MULTI, language_id.LONGEST_PIECE)
-    probability = np.random.default_rng(3).random((t.size, 2)) / 100
-    for word in ("hello", "thé", "a"):
-        data = np.frombuffer(word.encode() + b" ", np.uint8)
-        got = language_id.word_scores(t, probability, data, np.array([0]), np.array([len(data) - 1]))[0]
-        for g in range(2):
-            want = sum(math.prod(probability[pieces[p], g] for p in cut) for cut in _segmentations(b" " + word.encode()) if all(p in pieces for p in cut))
-            assert math.isclose(got[g], math.log(want), rel_tol=1e-9)
-        # Each segmentation's weight is shared by its pieces: counts weigh as many bytes as the word has.
-        words, size = language_id._matrix(data, np.array([0]), np.array([len(data) - 1]))
-        counts = language_id.expected_counts(t, probability, words, size, np.ones((1, 2)))
-        spelled = load_pieces(MULTI)
-        assert np.allclose(sum(len(spelled[i]) * counts[i] for i in np.flatnonzero(counts.sum(1))), len(word.encode()) + 1)
+    t, longest = trie(MULTI), language_id.longest_piece(MULTI)
+    assert longest > 12
+    probability = np.random.default_rng(3).random((t.size, 2)) / 20
+    data = np.frombuffer(word.encode() + b" ", np.uint8)
+    ends = np.array([len(data) - 1])
+    got = language_id.word_scores(t, longest, probability, data, np.array([0]), ends)[0]
+    words, size = language_id._matrix(data, np.array([0]), ends)
+    counts = language_id.expected_counts(t, longest, probability, words, size, np.ones((1, 2)))
+    for g in range(2):
+        want, expected = _all_segmentations(b" " + word.encode(), pieces, probability[:, g])
+        assert math.isclose(got[g], math.log(want), rel_tol=1e-9)
+        assert np.allclose([counts[p, g] for p in expected], list(expected.values()), rtol=1e-6, atol=1e-12)
+    # Each segmentation's weight is shared by its pieces: counts weigh as many bytes as the word has.
+    spelled = load_pieces(MULTI)
+    assert np.allclose(sum(len(spelled[i]) * counts[i] for i in np.flatnonzero(counts.sum(1))), len(word.encode()) + 1)
+
+
+def test_long_runs_and_words_side_by_side(monkeypatch):
+    rnd = random.Random(4)
+    t, longest = trie(MULTI), language_id.longest_piece(MULTI)
+    probability = np.random.default_rng(3).random((t.size, 2)) / 1e6
+    words = ["".join(rnd.choice("etaoinü日") for _ in range(n)) for n in (1, 3, 40, 49, 400, 3000, 7, 2)]
+    data = np.frombuffer("\n".join(words).encode() + b"\n", np.uint8)
+    ends = np.flatnonzero(data == 10)
+    starts = np.append(0, ends[:-1] + 1)
+    together = language_id.word_scores(t, longest, probability, data, starts, ends)
+    monkeypatch.setattr(language_id, "SIDE_BY_SIDE", 1)
+    alone = language_id.word_scores(t, longest, probability, data, starts, ends)
+    assert np.allclose(together, alone, rtol=1e-12)
+    # A run of 3,000 letters is far below the least double.
+    assert (together[5] < -5000).all() and np.isfinite(together).all()
 
 
 def test_word_table_forgets_and_finds():
