@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hailgrid.checkpoints import keep
+from hailgrid.llm.storage import release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,5 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = keep(
             small.select("v", "m").union(least.select("u", "m")).toDF("u", "v").where("u <> v").distinct()
         )
+        # The shuffle files of a round are of no use to the next one.
+        release(edges.sparkSession)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).groupBy("id").agg(F.min("component").alias("component"))

@@ -10,8 +10,8 @@
    compared with the most central hub of its lists instead of with all members. The sketch of the union estimates the
    Jaccard similarity and filters; the full sets decide.
 4. Only lists whose members are still in several components hold further pairs. In
-   further turns each of their classes meets a hub of another component, drawn anew, as
-   long as this joins components.
+   a few further turns each of their classes meets some hubs of other components, drawn
+   anew, as long as this joins components.
 5. What is left open after that meets on the rarest shingles of the full sets, with bounds on
    length and position, so no similar pair in different components is passed over.
 
@@ -22,7 +22,6 @@ of about 1e-9 to miss such a pair); texts with at most ``k`` shingles have no su
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -39,6 +38,9 @@ from hailgrid.llm.storage import release, stored
 SIGMAS = 6.5
 # Further turns of hubs go on while this share of their pairs is similar.
 LEAST_YIELD = 0.05
+TURNS = 3
+# Hubs that a class meets in a turn.
+HUBS = 8
 # Shingles before a place of a prefix that are compared, so that a pair is met once.
 BEFORE = 8
 # Bits of a set's parity map, as 64-bit words.
@@ -164,17 +166,18 @@ def _mixed(marked: DataFrame) -> DataFrame:
 
 
 def _met(marked: DataFrame, turn: int) -> DataFrame:
-    """A pair (a, b) for each class of a mixed list: with a hub of another component, drawn anew in each turn.
+    """Pairs (a, b) of each class of a mixed list with hubs of other components, drawn anew in each turn.
 
     A list's hub is its member with the least hash; the members of the hub's own component take the
-    one with the least hash of the others. Of its lists' hubs a class takes that with the least hash.
+    one with the least hash of the others. Of its lists' hubs a class takes the ``HUBS`` with the least hashes.
     """
     drawn = F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "component")
     first = marked.groupBy("value").agg(F.min(drawn).alias("first"))
     others = marked.join(first, "value").where(F.col("component") != F.col("first.component"))
     second = others.groupBy("value").agg(F.min("first").alias("first"), F.min(drawn).alias("second"))
     hub = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first"))
-    pairs = marked.join(second, "value").groupBy("id").agg(F.min(hub).alias("hub"))
+    drawn_hubs = F.slice(F.array_sort(F.collect_set(hub)), 1, HUBS)
+    pairs = marked.join(second, "value").groupBy("id").agg(drawn_hubs.alias("hubs")).select("id", F.explode("hubs").alias("hub"))
     return pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
@@ -193,13 +196,15 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     ranked = held.join(common, "shingle").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ordered"))
     own = F.col("n") - F.size("ordered")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
-    prefix = ranked.where(length > 0).select(
-        "id", "component", "n", own.alias("own"), "ordered", F.posexplode(F.slice("ordered", F.lit(1), length.cast("int"))).alias("place", "entry")
-    )
-    earlier = F.transform(F.slice("ordered", F.greatest(F.col("place") + 1 - BEFORE, F.lit(1)), F.least(F.col("place"), F.lit(BEFORE))), lambda e: e["shingle"])
+    def entry(e: Column, i: Column) -> Column:
+        before = F.slice("ordered", F.greatest(i + 1 - BEFORE, F.lit(1)), F.least(i, F.lit(BEFORE)))
+        return F.struct(i.alias("place"), e["shingle"].alias("shingle"), F.transform(before, lambda x: x["shingle"]).alias("earlier"))
+
+    entries = F.transform(F.slice("ordered", F.lit(1), length.cast("int")), entry)
+    prefix = ranked.where(length > 0).select("id", "component", "n", own.alias("own"), F.inline(entries))
     parity = [f"p{i}" for i in range(PARITY_WORDS)]
     maps = sets.select("id", *[F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(parity)])
-    prefix = prefix.select("id", "component", "n", F.col("entry.shingle").alias("shingle"), earlier.alias("earlier"), (F.col("n") - F.col("own") - F.col("place")).alias("rest")).join(maps, "id")
+    prefix = prefix.select("id", "component", "n", "shingle", "earlier", (F.col("n") - F.col("own") - F.col("place")).alias("rest")).join(maps, "id")
     a, b = prefix.alias("a"), prefix.alias("b")
     most = F.least("a.rest", "b.rest")
     met = (
@@ -282,11 +287,14 @@ def near_duplicates(
 
     # What the stars leave open: lists whose members are in several components.
     found = keep(components(links))
+    release(spark)
     marked = lists.join(found, "id", "left").select("id", "value", F.coalesce("component", "id").alias("component"))
     marked = keep(_mixed(marked))
     near = stored(sets.join(marked.select("id").distinct(), "id", "left_semi"))
-    for turn in itertools.count():
+    release(spark)
+    for turn in range(TURNS):
         pairs, tried = materialise(_met(marked, turn))
+        release(spark)
         if not tried:
             break
         joined, n_joined = materialise(_confirmed(_estimated(pairs, classes, k, threshold), near, percent))
@@ -298,9 +306,12 @@ def near_duplicates(
             merged = keep(components(ends)).toDF("component", "root")
             marked = marked.join(merged, "component", "left").select("id", "value", F.coalesce("root", "component").alias("component"))
             marked = keep(_mixed(marked))
+            release(spark)
         if n_joined < LEAST_YIELD * tried:
+            # Few of those left are similar.
             break
     members = keep(marked.select("id", "component").distinct())
+    release(spark)
     more = keep(_confirmed(_exact_pairs(members, near, percent), near, percent))
     release(spark)
 

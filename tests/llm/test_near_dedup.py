@@ -1,8 +1,12 @@
+import random
+
 import pytest
 
+from hailgrid.llm import near_dedup
 from hailgrid.llm.graph import components
 from hailgrid.llm.near_dedup import drop_near_duplicates, near_duplicates
 from tests.llm.brute import near_components
+from tests.llm.conftest import sentence
 
 
 @pytest.mark.parametrize("k", [64, 16])
@@ -48,3 +52,35 @@ def test_graph(spark):
 
 def test_empty_table(no_docs):
     assert near_duplicates(no_docs).count() == 0 and drop_near_duplicates(no_docs).columns == no_docs.columns
+
+
+@pytest.mark.parametrize("percent", [80, 70])
+def test_many_near_copies_around_the_threshold(spark, percent):
+    """Near copies of near copies, most pairs a little below or above the threshold."""
+    rnd = random.Random(percent)
+    base = [sentence(rnd, 1) for _ in range(140)]
+    lines = [base]
+    for _ in range(500):
+        words = list(rnd.choice(lines))
+        for _ in range(rnd.randint(1, 8)):
+            words[rnd.randrange(len(words))] = sentence(rnd, 1)
+        lines.append(words)
+    rows = [(i, " ".join(words)) for i, words in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame, shingle_words=4, percent=percent).collect()}
+    assert got == near_components(rows, 4, percent)
+
+
+def test_a_pair_is_met_once(spark):
+    """Of pairs with many common shingles in their prefixes hardly one leaves the join twice, and none is lost."""
+    rnd = random.Random(9)
+    common = rnd.sample(range(10**9), 400)
+    sets = [sorted({*rnd.sample(common, 380), *rnd.sample(range(10**9), 25)}) for _ in range(60)]
+    frame = spark.createDataFrame([(i, own, [0] * near_dedup.PARITY_WORDS) for i, own in enumerate(sets)], "id long, shingles array<long>, parity array<long>")
+    members = spark.createDataFrame([(i, i) for i in range(60)], "id long, component long")
+    pairs = {tuple(r) for r in near_dedup._exact_pairs(members, frame, 80).collect()}
+    for i in range(60):
+        for j in range(i + 1, 60):
+            k = len(set(sets[i]) & set(sets[j]))
+            if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                assert (i, j) in pairs
