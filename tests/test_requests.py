@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 import hailgrid as hg
 from hailgrid.functions import geometry
 from hailgrid.checkpoints import ensure_checkpoint_dir
+from hailgrid.operators import estimate
 from hailgrid.operators.lookup import lookup
+from hailgrid.operators.matching import window_stats
 from tests.test_trips import frame, trip
 
 PLACES = ["start_lon", "start_lat", "dest_lon", "dest_lat"]
@@ -149,3 +151,25 @@ def test_replies(spark, city):
     assert short == {1: '[["2016-05-04T10:00:00Z",600.0]]', 2: '[["2016-05-04T10:00:00Z",0]]'}
     card = hg.trip_card(answers).collect()
     assert [(r.request_id, r.arrival, r.tolls) for r in card] == [(1, "2016-05-04T10:10:00Z", 0.0)]
+
+
+def test_addresses_collect_only_the_asked_steps_of_the_day(spark, monkeypatch):
+    trips = frame(spark, *[trip(time_of_day_sec=s, fare_amount=float(s)) for s in range(30, 86400, 60) if not 60000 <= s < 70000])
+    box = "named_struct('xmin',-80D,'ymin',30D,'xmax',-70D,'ymax',50D,'x',cast(null as double),'y',cast(null as double),'radius',cast(null as double))"
+    seconds = [0, 600, 36000, 36599, 65000, 86399]
+    asked = spark.createDataFrame([(i, "a", "b", s) for i, s in enumerate(seconds)], "request_id int, start_address string, dest_address string, start_sec long")
+    asked = asked.selectExpr("*", f"{box} as start_area", f"{box} as dest_area")
+    collected = []
+
+    def counted(*args, **how):
+        stats = window_stats(*args, **how)
+        collected.append(stats.count())
+        return stats
+
+    monkeypatch.setattr(estimate, "window_stats", counted)
+    found = {r.request_id: (r["level"], r["count"], r.fare_amount_total) for r in hg.estimate_address(trips, asked, ["fare_amount"]).collect()}
+    for i, second in enumerate(seconds):
+        level, near = next((k, n) for k in range(5) if (n := [s for s in range(30, 86400, 60) if not 60000 <= s < 70000 and abs(s - second) <= 600 * 2**k]))
+        assert found[i] == (level, len(near), float(sum(near)))
+    # Of the 1273 seconds with trips: steps 0-2, 59-61 and 142-143 of the day, then those around the one without trips near it.
+    assert collected == [10 * 8, sum(55200 <= s < 75000 for s in range(30, 86400, 60) if not 60000 <= s < 70000)]
