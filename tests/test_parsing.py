@@ -75,3 +75,9 @@ def test_header_matching():
     assert field_of("congestion_surcharge") == "improvement_surcharge"
     assert field_of("PULocationID") is None
     assert field_positions("VendorID,surcharge,improvement_surcharge,,")["improvement_surcharge"] == [1, 2]
+
+
+def test_a_time_reads_its_text_once(spark):
+    frame = spark.range(1).select(F.col("id").cast("string").alias("t")).repartition(1).select(parsing.lenient_epoch_seconds(F.col("t")).alias("v"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
