@@ -82,5 +82,5 @@ def geocode_with_store(
             F.col("address_info").alias(f"{role}_address_info"),
             (F.lit(now) - F.col("answered_at")).alias(f"{role}_age"),
         )
-        out = lookup(out, table, [key], n_kept + n_new, **limits)
+        out = lookup(out, table, [key], n_kept + n_new, counted=requests, **limits)
     return out, {"asked": n_asked, "kept": n_kept, "parsed": n_new}

@@ -173,3 +173,24 @@ def test_addresses_collect_only_the_asked_steps_of_the_day(spark, monkeypatch):
         assert found[i] == (level, len(near), float(sum(near)))
     # Of the 1273 seconds with trips: steps 0-2, 59-61 and 142-143 of the day, then those around the one without trips near it.
     assert collected == [10 * 8, sum(55200 <= s < 75000 for s in range(30, 86400, 60) if not 60000 <= s < 70000)]
+
+
+def test_rows_are_not_looked_up_to_be_counted(spark):
+    plain = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(60)], "k int, i int")
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "k int, t string")
+    # Work that must wait for the result: to count the keys, the given rows are enough.
+    dear = plain.withColumn("x", F.assert_true(F.col("i") < 0)).where("x is null")
+    lookup(dear, table, ["k"], 6, broadcast_rows=0, hot_rows=9, counted=plain)
+    found = lookup(plain, table, ["k"], 6, broadcast_rows=0, hot_rows=9, counted=plain)
+    assert sorted(found.collect(), key=lambda r: r.i) == sorted(lookup(plain, table, ["k"], 6).collect(), key=lambda r: r.i)
+
+
+def test_no_more_hot_keys_than_the_bound(spark, monkeypatch):
+    from hailgrid.operators import lookup as module
+
+    monkeypatch.setattr(module, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([(k, k * 100 + i) for k in range(8) for i in range(2 + 4 * (k < 2))], "k int, i int")
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(7)], "k int, t string")
+    found = lookup(rows, table, ["k"], 7, broadcast_rows=0, hot_rows=1)
+    assert sorted((r.i, r.t) for r in found.collect() if r.t) == [(r.i, f"t{r.k}") for r in rows.orderBy("i").collect() if r.k < 7]
+    assert found.count() == rows.count()
