@@ -194,3 +194,31 @@ def test_no_more_hot_keys_than_the_bound(spark, monkeypatch):
     found = lookup(rows, table, ["k"], 7, broadcast_rows=0, hot_rows=1)
     assert sorted((r.i, r.t) for r in found.collect() if r.t) == [(r.i, f"t{r.k}") for r in rows.orderBy("i").collect() if r.k < 7]
     assert found.count() == rows.count()
+
+
+def test_requests_without_trips_in_reach_are_not_matched(spark, city, monkeypatch):
+    listed = []
+
+    def counted(windows, *args, **how):
+        listed.append(windows.count() if any(n for _, n, _ in how["groups"]) else 0)
+        return window_stats(windows, *args, **how)
+
+    monkeypatch.setattr(estimate, "window_stats", counted)
+    names = "request_id int, start_lon double, start_lat double, dest_lon double, dest_lat double, start_sec int"
+    far = [(0, -70.0, 40.75, -73.97, 40.76, 36000), (1, -74.3, 40.4, -74.3, 40.4, 36000), (2, -73.98, 40.75, -73.97, 40.76, 36000)]
+    answers = {r.request_id: r.matched for r in hg.estimate(frame(spark, *city), spark.createDataFrame(far, names)).collect()}
+    assert answers == {0: False, 1: False, 2: True} and listed == [1]
+
+
+def test_sizes_of_few_windows_are_broadcast(spark, city):
+    rows = [(i, -73.98 + i / 1000, 0.0041 if i % 10 else 0.05) for i in range(40)]
+    windows = spark.createDataFrame(rows, "id int, x double, half double")
+    window = hg.Window(geometry.search_box(F.col("x"), F.lit(40.75), F.col("half")), geometry.search_box(F.lit(-73.97), F.lit(40.76), F.lit(0.03)))
+    trips = frame(spark, *city)
+    stats = window_stats(windows, window, trips, ["id"], ["fare_amount"], broadcast_cells=400)
+    plain = windows.join(trips, window.covers_trip()).groupBy("id").agg(F.count(F.lit(1)).alias("count"), F.sum("fare_amount").alias("fare_amount_total"))
+    columns = ["id", "count", "fare_amount_total"]
+    assert sorted(map(tuple, stats.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+    # Four windows of one size, 36 of the other: no trip is listed for both.
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(" not in plan
