@@ -150,3 +150,17 @@ def test_many_headers_and_files_take_a_fixed_number_of_jobs(spark, tmp_path):
 def test_only_a_first_line_is_a_header(spark, tmp_path):
     (tmp_path / "yellow.csv").write_text(f"a comment\n{NEW}\n2,2013-8-1 7:00:00,2013-8-1 7:20:00,-73.95,40.80,-73.99,40.73,12.5,2,1\n")
     assert hg.read_trips(spark, str(tmp_path)).count() == 0
+
+
+def test_large_tables_are_not_dealt_out_again(spark, tmp_path, monkeypatch):
+    from checks import sample
+
+    spark.range(100).write.parquet(f"{tmp_path}/lineitem.parquet")
+    shuffled = []
+    for most in (1 << 30, 10):
+        monkeypatch.setattr(sample, "SPREAD_BYTES", most, raising=False)
+        sample.read(spark, str(tmp_path), "lineitem", spread=True)
+        table = spark.table("lineitem")
+        shuffled.append("Repartition" in table._jdf.queryExecution().optimizedPlan().toString())
+        assert table.count() == 100
+    assert shuffled == [True, False]
