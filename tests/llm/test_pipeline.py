@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from hailgrid.llm.queries import QUERIES, toxicity_model
 from hailgrid.llm.toxicity import score_toxicity
@@ -60,3 +62,21 @@ def test_registered_queries_have_the_columns_asked_for(spark):
     }
     for name, columns in wanted.items():
         assert columns <= set(QUERIES[name](spark, SF).columns)
+
+
+def test_stages_get_their_rows_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as text", "'en' as lang", "'s' as source", "4L as n_chars")
+
+    def most_rows(limit):
+        spark.conf.set(name, limit)
+        for _, stage in corpus_pipeline.STAGES[-1:]:
+            stage(spark, docs, SF)
+        sizes = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        return max(r.n for r in sizes.collect())
+
+    try:
+        assert most_rows(10_000) == corpus_pipeline.BATCH_ROWS
+        assert most_rows(100) == 100
+    finally:
+        spark.conf.unset(name)
