@@ -1,12 +1,16 @@
+import contextlib
+import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import hailgrid as hg
+from checks import sample
 from hailgrid.functions import geometry
 from hailgrid.checkpoints import ensure_checkpoint_dir
-from hailgrid.operators import estimate
+from hailgrid.operators import estimate, matching
 from hailgrid.operators.lookup import lookup
 from hailgrid.operators.matching import window_stats
 from tests.test_trips import frame, trip
@@ -222,3 +226,79 @@ def test_sizes_of_few_windows_are_broadcast(spark, city):
     # Four windows of one size, 36 of the other: no trip is listed for both.
     plan = stats._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array(" not in plan
+
+
+def _around(spark, asked):
+    """Windows of two sizes, and the window."""
+    windows = spark.createDataFrame([r for r in asked if None not in r], "id int, start_lon double, start_lat double, dest_lon double, dest_lat double, start_sec int")
+    grown = F.when(F.col("id") % 2 == 0, 0.02).otherwise(0.004)
+    boxes = [geometry.search_box(F.col(f"{end}_lon"), F.col(f"{end}_lat"), grown) for end in ("start", "dest")]
+    return windows, hg.Window(*boxes, F.col("start_sec") - 5000, F.col("start_sec") + 5000)
+
+
+@pytest.mark.parametrize("by", [(), ["time_of_day_sec"]])
+@pytest.mark.parametrize("limits", [{"broadcast_cells": 0}, {"broadcast_cells": 0, "hot_trips": 150}])
+def test_blocks_of_trips_equal_a_plain_join(spark, city, asked, monkeypatch, by, limits):
+    for name, value in (("BLOCKS_FROM", 0), ("BLOCK_TRIPS", 1), ("HEAVY_TRIPS", 20)):
+        monkeypatch.setattr(matching, name, value)
+    parts, seen = [], matching.blocks
+    monkeypatch.setattr(matching, "blocks", lambda *a, **k: parts.append(a) or seen(*a, **k))
+    trips = frame(spark, *city)
+    windows, window = _around(spark, asked)
+    columns = ["id", *by, "count", "fare_amount_total", "fare_amount_min"]
+    got = window_stats(windows, window, trips, ["id"], ["fare_amount"], by=by, **limits).select(columns).collect()
+    plain = windows.join(trips, window.covers_trip()).groupBy("id", *by).agg(F.count(F.lit(1)).alias("count"), F.sum("fare_amount").alias("fare_amount_total"), F.min("fare_amount").alias("fare_amount_min"))
+    assert parts
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain.select(columns).collect()))
+    assert len(got) > 50
+
+
+def _largest_method(frame):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        frame.explain("codegen")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue()))
+
+
+@pytest.fixture
+def not_adaptive(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+@pytest.mark.parametrize("broadcast_cells", [0, matching.BROADCAST_CELLS])
+def test_windows_of_many_sizes_have_small_methods(spark, city, asked, not_adaptive, broadcast_cells):
+    windows = spark.createDataFrame([r for r in asked if None not in r], "id int, start_lon double, start_lat double, dest_lon double, dest_lat double, start_sec int")
+    windows = windows.withColumn("_try", F.col("id") % 5)
+    groups = [((level + 1,) * 3, 30, 960) for level in range(5)]
+    stats = window_stats(
+        windows, estimate._search(F.col("_try")), frame(spark, *city), ["id"], ["fare_amount", "payment_type"], by={"level": estimate._trip_level()}, groups=groups, n_trips=600, broadcast_cells=broadcast_cells
+    )
+    assert _largest_method(stats) < 8000
+
+
+def test_crowded_cells_are_cut_to_no_more_parts_than_spread_the_work(spark):
+    trips = spark.range(40_000).select((F.col("id") % 4).alias("cell"))
+    windows = spark.range(400).select((F.col("id") % 4).alias("cell"))
+    hot = matching._hot_cells(trips, 40_000, windows, 400, 1, 1, 1)
+    parts = hot.agg(F.sum(F.col("trip_parts") * F.col("window_parts"))).first()[0]
+    # Without a bound a cell would have a part for each pair.
+    assert parts < 400 * 40_000 / 4 / 4
+    assert hot.agg(F.max("trip_parts")).first()[0] <= 1 / matching.LEAST_PIECE
+
+
+def test_trips_are_read_by_a_small_method(spark, tmp_path, not_adaptive, monkeypatch):
+    types = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    rows = spark.range(50).selectExpr("id", "1", "id * 7", "id * 3", "1.0", "2.0", "0.1", "0.2", "'R'", "timestamp'1996-01-01'").collect()
+    spark.createDataFrame(rows, types).write.parquet(f"{tmp_path}/lineitem.parquet")
+    # Larger tables aren't dealt out before they are filtered.
+    monkeypatch.setattr(sample, "SPREAD_BYTES", 0)
+    trips = hg.valid_trips(sample.trips(spark, str(tmp_path), spread=True))
+    near = F.lit(True)
+    for name in matching.PLACE:
+        near = near & F.col(name).between(-100, 90_000)
+    keyed = trips.where(near).select("fare_amount", *[F.floor(F.col(n) / size).alias(f"{n}_{size}") for n in matching.PLACE for size in (1, 2, 4)])
+    assert _largest_method(keyed) < 8000
+    assert keyed.count() > 10
